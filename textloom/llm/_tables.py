@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm._text import mix
+
 _own: dict[str, str] = {}
 
 
@@ -58,3 +65,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = written(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+
+
+def sieve(ids: DataFrame, bits: int = 24) -> Callable[[str | Column], Column]:
+    """A test for doc_ids that may be in ids: never false for one that is. A bit map of fixed size (2 MB) is made
+    in the executors and sent back to them; the fuller it gets, the more it lets through, and no result depends
+    on that, as a join follows."""
+    size = 1 << bits
+
+    def place(x: np.ndarray) -> np.ndarray:
+        return (mix(np.ascontiguousarray(x).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, bool)
+        for batch in batches:
+            seen[place(batch.column(0).to_numpy())] = True
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    seen = np.zeros(size // 8, np.uint8)
+    for r in ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").repartition(8).mapInArrow(build, "bits binary").toLocalIterator():
+        seen |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(seen)
+
+    @F.arrow_udf("boolean")
+    def test(x: pa.Array) -> pa.Array:
+        at = place(pc.fill_null(x, 0).to_numpy(zero_copy_only=False))
+        return pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+    return test

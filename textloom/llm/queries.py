@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, mixing, packing, substring_dedup, suffix_dedup
+from textloom.llm import exact_dedup, mixing, ngram_join, packing, substring_dedup, suffix_dedup, toxicity
 from textloom.llm._tables import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents")).select("doc_id", "keep_id")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_repeats(table(spark, sf_dir, "documents"))
 
@@ -31,10 +39,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op5_substring_dedup, op6_exact_dedup, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op2_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op9_suffix_dedup, op10_packing)
 }
 
+_GRAMS = r"""
+    words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+              FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+             FROM words WHERE len(w) > 0)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": f"""
+        WITH {_GRAMS},
+        points AS (SELECT g, min(doc_id) AS doc_id, len(g) AS n FROM sets GROUP BY g),
+        each AS (SELECT doc_id, n, unnest(g) AS x FROM points),
+        pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS i
+                  FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT doc_a, doc_b, i::DOUBLE / (na + nb - i)::DOUBLE AS jaccard FROM pairs WHERE i::DOUBLE / (na + nb - i)::DOUBLE >= 0.45
+        UNION ALL
+        SELECT p.doc_id, s.doc_id, 1.0::DOUBLE FROM sets s JOIN points p ON s.g = p.g WHERE s.doc_id > p.doc_id""",
     "op6_exact_dedup": """
         SELECT d.doc_id, k.keep_id FROM documents d
         JOIN (SELECT text, min(doc_id) AS keep_id, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY text) k
