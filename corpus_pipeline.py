@@ -1,27 +1,41 @@
-"""From raw documents to packed training windows."""
+"""From raw documents to packed training windows: toxicity, exact and near duplicates, mixture, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, mixing, packing
+from textloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from textloom.llm._tables import table, written
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field trained on the labels tags as toxic go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each text, the row of the smallest doc_id stays."""
     return exact_dedup.without_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with similar n-grams, the one of the smallest doc_id stays."""
+    return ngram_join.without_similar(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken by the target weights, those of scarce sources in several epochs."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows are filled along walks over related documents."""
     return packing.packed(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mixing", mix), ("packing", pack)]
-ORACLE_SQL = None
+STAGES = [("toxicity", clean), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mix), ("packing", pack)]
+#: A trained field and greedy walks have no SQL; tests/llm compares each stage with brute force.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
