@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, mixing, ngram_join, packing, substring_dedup, suffix_dedup, toxicity
+from textloom.llm import exact_dedup, mixing, ngram_join, packing, page_diff, substring_dedup, suffix_dedup, toxicity
 from textloom.llm._tables import table
 
 
@@ -30,6 +30,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_repeats(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op2_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op8_html_extraction, op9_suffix_dedup, op10_packing)
 }
 
 _GRAMS = r"""
