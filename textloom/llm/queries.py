@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import exact_dedup, mixing, ngram_join, packing, page_diff, substring_dedup, suffix_dedup, toxicity
+from textloom.llm import exact_dedup, mixing, ngram_join, packing, page_diff, substring_dedup, suffix_dedup, topk, toxicity
 from textloom.llm._tables import table
 
 
@@ -14,6 +15,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op8_html_extraction, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op2_mixing, op3_topk, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op8_html_extraction, op9_suffix_dedup, op10_packing)
 }
 
 _GRAMS = r"""
@@ -54,6 +59,11 @@ _GRAMS = r"""
              FROM words WHERE len(w) > 0)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour_id) AS rank FROM p)
+        SELECT vec_id, rank::INT AS rank, neighbour_id, round(d, 6) AS distance FROM r WHERE rank <= 10""",
     "op7_ngram_join": f"""
         WITH {_GRAMS},
         points AS (SELECT g, min(doc_id) AS doc_id, len(g) AS n FROM sets GROUP BY g),
