@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import exact_dedup, mixing, ngram_join, packing, page_diff, substring_dedup, suffix_dedup, topk, toxicity
+from textloom.llm import exact_dedup, lm_scoring, mixing, ngram_join, packing, page_diff, substring_dedup, suffix_dedup, topk, toxicity
 from textloom.llm._tables import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_topk, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op8_html_extraction, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_topk, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op8_html_extraction, op9_suffix_dedup, op10_packing)
 }
 
 _GRAMS = r"""
