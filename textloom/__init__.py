@@ -1,0 +1 @@
+"""Analytics over wikitext dumps and text columns on Spark."""
