@@ -223,8 +223,9 @@ def articles_from_size(size: Column, per_mb: int = 200) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    units = F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1048576, F.format_string("%.1f KB", size / 1024.0))
-    return units.when(size < 1073741824, F.format_string("%.1f MB", size / 1048576.0)).otherwise(F.format_string("%.2f GB", size / 1073741824.0))
+    """With one digit, two for gigabytes; exact halves go to the even digit."""
+    units = F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1048576, F.format_string("%.1f KB", F.bround(size / 1024.0, 1)))
+    return units.when(size < 1073741824, F.format_string("%.1f MB", F.bround(size / 1048576.0, 1))).otherwise(F.format_string("%.2f GB", F.bround(size / 1073741824.0, 2)))
 
 
 def duration(seconds: Column) -> Column:

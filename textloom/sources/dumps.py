@@ -9,15 +9,9 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PAGE = T.StructType([
-    T.StructField("title", T.StringType()), T.StructField("ns", T.LongType()), T.StructField("id", T.LongType()),
-    T.StructField("redirect", T.StructType([T.StructField("_title", T.StringType())])),
-    T.StructField("revision", T.StructType([T.StructField("text", T.StringType())])),
-])
-_BODY = T.StructType([T.StructField("_VALUE", T.StringType())])
+_SCHEMA = "title string, id long, revision struct<text: struct<_VALUE: string>>"
 
 
 class DumpError(ValueError):
@@ -27,16 +21,19 @@ class DumpError(ValueError):
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """(title, page_id, text) of a plain or bzip2 dump (multistream too), or of a directory of XML files.
 
-    Files are split between tasks by the XML source, bzip2 at its blocks. Malformed pages are left out.
+    Files are split between tasks, bzip2 at its blocks. Malformed pages are left out.
     """
     kind = PurePosixPath(path.rstrip("/")).suffix
     if kind not in (".xml", ".bz2", "") and "*" not in path:
         raise DumpError(f"neither XML, bzip2 nor a directory: {path}")
-    page = T.StructType([*PAGE.fields[:-1], T.StructField("revision", T.StructType([T.StructField("text", _BODY)]))])
-    reader = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").option("mode", "PERMISSIVE").option("valueTag", "_VALUE")
-    raw = reader.option("pathGlobFilter", "*.xml*").schema(page).load(path) if kind == "" else reader.schema(page).load(path)
-    text = F.col("revision.text._VALUE")
-    return raw.select("title", F.col("id").alias("page_id"), F.regexp_replace(text, r"(?s)<!--.*?-->", "\n").alias("text")).where("title is not null")
+    # pages are framed by their end tag, which also serves files of bare pages; what precedes the start tag is dropped
+    reader = spark.read.option("lineSep", "</page>")
+    raw = reader.option("pathGlobFilter", "*.xml*").text(path) if kind == "" else reader.text(path)
+    framed = F.concat(F.lit("<page>"), F.substring_index("value", "<page>", -1), F.lit("</page>"))
+    options = {"rowTag": "page", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "valueTag": "_VALUE"}
+    page = raw.where(F.contains("value", F.lit("<page>"))).select(F.from_xml(framed, _SCHEMA, options).alias("page"))
+    text = F.regexp_replace(F.col("page.revision.text._VALUE"), r"(?s)<!--.*?-->", "\n")
+    return page.select("page.title", F.col("page.id").alias("page_id"), text.alias("text")).where("title is not null")
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -47,8 +44,13 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(offset, page_id, title) of a multistream index, `offset:page_id:title` a line; titles may hold colons."""
+    return index_of(spark.read.text(path))
+
+
+def index_of(lines: DataFrame) -> DataFrame:
+    """(offset, page_id, title) of index lines in column `value`."""
     parts = F.split("value", ":", 3)
-    return spark.read.text(path).where(F.rlike("value", F.lit(r"^\d+:\d+:."))).select(parts[0].cast("long").alias("offset"), parts[1].cast("long").alias("page_id"), parts[2].alias("title"))
+    return lines.where(F.rlike("value", F.lit(r"^\d+:\d+:."))).select(parts[0].cast("long").alias("offset"), parts[1].cast("long").alias("page_id"), parts[2].alias("title"))
 
 
 # bzip2
