@@ -55,9 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_topk, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_ngram_join, op8_html_extraction, op9_suffix_dedup, op10_packing)
 }
 
-_GRAMS = r"""
+_WORDS = r"""
     words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
-              FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+              FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
+_GRAMS = _WORDS + """,
     sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
                      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
              FROM words WHERE len(w) > 0)"""
@@ -77,6 +78,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_a, doc_b, i::DOUBLE / (na + nb - i)::DOUBLE AS jaccard FROM pairs WHERE i::DOUBLE / (na + nb - i)::DOUBLE >= 0.45
         UNION ALL
         SELECT p.doc_id, s.doc_id, 1.0::DOUBLE FROM sets s JOIN points p ON s.g = p.g WHERE s.doc_id > p.doc_id""",
+    "op9_suffix_dedup": f"""
+        WITH {_WORDS},
+        texts AS (SELECT DISTINCT doc_id, w FROM words WHERE len(w) >= 50),
+        known AS (SELECT w, count(*) AS n, row_number() OVER () AS k FROM words WHERE len(w) >= 50 GROUP BY w),
+        windows AS (SELECT k, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM known, unnest(range(0, len(w) - 49)) u(s)),
+        hits AS (SELECT k, s, s - row_number() OVER (PARTITION BY k ORDER BY s) AS g FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+        stretches AS (SELECT k, min(s) AS a, max(s) + 50 AS z FROM hits GROUP BY k, g)
+        SELECT doc_id, 0::INT AS start_word, len(w)::INT AS end_word FROM texts JOIN known USING (w) WHERE n > 1
+        UNION ALL
+        SELECT doc_id, a::INT, z::INT FROM texts JOIN known USING (w) JOIN stretches USING (k) WHERE n = 1""",
     "op6_exact_dedup": """
         SELECT d.doc_id, k.keep_id FROM documents d
         JOIN (SELECT text, min(doc_id) AS keep_id, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY text) k
