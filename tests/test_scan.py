@@ -11,21 +11,21 @@ from textloom.functions import scan as S
 from textloom.functions import templates as T
 
 EXPANDED = {
-    "{{birth date|1990|5|15}}": "May 15, 1990", "{{birth date|1990|5|15|df=yes}}": "15 May 1990", "{{date|2024|6}}": "June 2024", "{{date|2024}}": "2024", "{{birth date}}": "",
+    "{{birth date|1871|5|9}}": "May 9, 1871", "{{birth date|1871|5|9|df=y}}": "9 May 1871", "{{date|2024|6}}": "June 2024", "{{date|2024}}": "2024", "{{birth date}}": "",
     "{{convert|100|C|F}}": "100 °C (212 °F)", "{{convert|100|foo|bar}}": "100 foo", "{{convert|100|km|mi}}": "100 km (62.1 mi)", "{{convert|1,5|km|mi}}": "1 km (0.6 mi)", "{{cvt|5|kg}}": "5 kg",
-    "{{circa|1500|1550}}": "c. 1500 – c. 1550", "{{marriage|Jane Doe|1990|2020|reason=widowed}}": "Jane Doe (m. 1990; wid. 2020)", "{{marriage|Jane}}": "Jane", "{{unknown template|foo|bar}}": "",
+    "{{circa|1500|1550}}": "c. 1500 – c. 1550", "{{marriage|Ann|1991|2011|reason=died}}": "Ann (m. 1991; d. 2011)", "{{marriage|Jane}}": "Jane", "{{unknown template|foo|bar}}": "",
     "{{lang-fr|Bonjour}}": "French: Bonjour", "{{lang|fr|Bonjour|lit=Hello}}": "Bonjour (lit. 'Hello')", "{{nihongo|Tokyo|東京|Tōkyō}}": "Tokyo (東京, Tōkyō)", "{{frac|1|1|4}}": "1+1/4", "{{as of|2020|5}}": "As of May 2020",
-    "{{coord|35|41|N|139|41|E}}": "35°41′ N, 139°41′ E", "{{coord|1|2|3}}": "1, 2, 3", "{{age in days|2000|2|28|2000|3|1}}": "2", "{{age in years and days|2000|2|29|2001|2|28}}": "0 years, 365 days", "{{death date and age|2020|3|1|1950|3|2}}": "March 1, 2020 (aged 69)",
+    "{{coord|12|7|S|130|9|W}}": "12°7′ S, 130°9′ W", "{{coord|1|2|3}}": "1, 2, 3", "{{age in days|2000|2|28|2000|3|1}}": "2", "{{age in years and days|2000|2|29|2001|2|28}}": "0 years, 365 days", "{{death date and age|2011|4|1|1940|4|2}}": "April 1, 2011 (aged 70)",
     "a {{nowrap|b {{small|c}}}} {{open": "a b c {{open", "{{reign|1}}": "", "{{sic}}": "[sic]", "{{quote|x|y}}": "x — y",
 }
 EVALUATED = {
     "{{#expr:17 mod 5}}": "2", "{{#expr:5=6}}": "0", "{{#expr:2^3^2}}": "512", "{{#expr:-2 + 3.5}}": "1.5", "{{#expr:1/0}}": "", "{{#expr:x}}": "", "{{#expr:not 0}}": "1", "{{#expr:1/3}}": "0.33", "{{#expr:(1}}": "",
-    "{{#switch:b|a|b|c=result}}": "result", "{{#switch:x|a=first|b=second|fallback}}": "fallback", "{{#switch:x|#default=d}}": "d", "{{#if: |a|b}}": "b", "{{#ifeq:01|1.0|same|other}}": "same", "{{#ifexpr:1>2|a|b}}": "b",
-    "{{#pos:abc|z}}": "", "{{#rpos:abc|z}}": "-1", "{{#sub:hello|-3|2}}": "ll", "{{#sub:hi|9}}": "", "{{#explode:a,b,c|,|-1}}": "c", "{{#padleft:7|3|0}}": "007", "{{#padright:x|3}}|": "x  |", "{{#titleparts:a/b/c|1|1}}": "b", "{{#iferror:ok}}": "ok",
+    "{{#switch:q|p|q|r=hit}}": "hit", "{{#switch:z|p=one|q=two|rest}}": "rest", "{{#switch:x|#default=d}}": "d", "{{#if: |a|b}}": "b", "{{#ifeq:01|1.0|same|other}}": "same", "{{#ifexpr:1>2|a|b}}": "b",
+    "{{#pos:abc|z}}": "", "{{#rpos:abc|z}}": "-1", "{{#sub:hello|-3|2}}": "ll", "{{#sub:hi|9}}": "", "{{#explode:k-l-m|-|-1}}": "m", "{{#padleft:7|3|0}}": "007", "{{#padright:x|3}}|": "x  |", "{{#titleparts:a/b/c|1|1}}": "b", "{{#iferror:ok}}": "ok",
     "{{#time:jS F Y, N|2024-03-22}}": "22nd March 2024, 5", "{{#time:Y|nonsense}}": "", "{{#nope:x}}": "", "{{#urlencode:a b&ü}}": "a%20b%26%C3%BC", "{{#urldecode:a+b%20c}}": "a b c", "{{#replace:aXbX|X|-}}": "a-b-", "{{#count:aaa|a}}": "3", "{{#len:äb}}": "2",
 }
 MAGIC = {
-    "{{PAGENAMEE}}": "Test_Article", "{{formatnum:1234.56}}": "1,234.56", "{{formatnum:1,234|R}}": "1234", "{{#titleparts:A/B/C|1|2}}": "B", "{{#titleparts:A/B/C|-1}}": "A/B", "{{CURRENTTIMESTAMP}}": "20240615143045", "{{lc:ABC}}{{ucfirst:abc}}": "abcAbc",
+    "{{PAGENAMEE}}": "Test_Article", "{{formatnum:1234.56}}": "1,234.56", "{{formatnum:1,234|R}}": "1234", "{{#titleparts:U/V/W|1|2}}": "V", "{{#titleparts:A/B/C|-1}}": "A/B", "{{CURRENTTIMESTAMP}}": "20240615143045", "{{lc:ABC}}{{ucfirst:abc}}": "abcAbc",
     "{{padleft:7|3}}": "007", "{{nope}}": "{{nope}}", "{{NAMESPACE}}": "", "{{TALKPAGENAME}}": "Talk:Test Article", "{{CURRENTDAYNAME}} {{CURRENTWEEK}} {{CURRENTDOW}}": "Saturday 24 6", "{{anchorencode:a b(c}}": "a_b.28c", "{{urlencode:a é}}": "a_%C3%A9", "{{plural:2|one|two}}": "one",
 }
 

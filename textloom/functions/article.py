@@ -11,21 +11,21 @@ from textloom.functions import scan, templates
 from textloom.functions import words as W
 
 CATEGORY = re.compile(rf"[{{\[|\x08](?:{W.any_of(W.CATEGORY)})\s*:([^|\]}}]+)[|\]}}]", re.I)
-REDIRECT = re.compile(rf"[#＃](?:{W.any_of(W.REDIRECT)})\s*:?\s*\[\[([^\]]+)\]\]", re.I)
+REDIRECT = re.compile(rf"[#＃](?:{W.any_of(W.REDIRECT)})\s*(?::\s*)?\[{{2}}([^]]+)\]{{2}}", re.I)
 _HEADING = re.compile(r"^=+.*?=+\s*$")
 _MULTI = {"mw_inputbox": r"</inputbox>", "mw_source": r"</source>", "mw_math": r"</math>", "mw_htable": r"</\s*table>", "mw_table": r"^\|\}"}
 _ENDS = {k: re.compile(v) for k, v in _MULTI.items()}
 _LIST, _DEFINITION = re.compile(r"\A[ :;#*]+"), re.compile(r"\A[ :;]+")
 #: (type, test, whether it opens a block), in order; tests see the line with its end.
 _KINDS = [
-    ("mw_isolated_template", re.compile(r"^\s*\{\{.+\}\}\s*$"), False),
+    ("mw_isolated_template", re.compile(r"\A\s*\{{2}.+\}{2}\s*\Z"), False),
     ("mw_isolated_tag", re.compile(r"^\s*<[^<>]+>.+<[^<>]+>\s*$"), False),
     ("mw_blank", re.compile(r"^\s*$"), False),
     ("mw_redirect", REDIRECT, False),
     ("mw_heading", _HEADING, False),
     ("mw_inputbox", re.compile(r"<inputbox>.*?</inputbox>"), False),
     ("mw_ml_template", re.compile(r"^\{\{[^}]*$"), True),
-    ("mw_ml_link", re.compile(r"^\[\[(?!.*\]\]\s*$).*$"), True),
+    ("mw_ml_link", re.compile(r"\A\[{2}(?!.*\]{2}\s*\Z)"), True),
     ("mw_inputbox", re.compile(r"<inputbox>"), True),
     ("mw_source", re.compile(r"<source.*?>.*?</source>"), False),
     ("mw_source", re.compile(r"<source.*?>"), True),

@@ -50,7 +50,7 @@ def is_redirect(text: Column | str) -> Column:
 
 
 def redirect_target(text: Column | str) -> Column:
-    found = F.regexp_extract(_c(text), rf"(?iu)[#＃](?:{_any(W.REDIRECT)})\s*:?\s*\[\[([^\]]+)\]\]", 1)
+    found = F.regexp_extract(_c(text), rf"(?iu)[#＃](?:{_any(W.REDIRECT)})\s*(?::\s*)?\[{{2}}([^\]]+)\]{{2}}", 1)
     return F.when(found != "", found)
 
 
@@ -147,7 +147,7 @@ _STEPS = [
     (r"\n{3,}", "\n\n"), (r"\n(?:[\t ]*\n){2,}", "\n\n"), (r"(?<=[^\n]) {2,}", " "), (r"（\s*）|\(\s*\)", ""), (r"\|{2,}", ""), (r"(?md)\|\s*$", ""), (r"(?md)^[^\S\n]*\|[^|\n]*$\n?", ""),
     (rf"(?miud)^\s*(?:{_any(W.REMNANTS)}|notelist\d+)\s*$", ""), (rf"(?iu)\{{\{{\s*(?:{_any(W.SORT_WORDS)})[^}}]*\}}\}}", ""), (rf"(?miud)^(?:{_any(W.SORT_WORDS)})[^\n]*$", ""),
     (rf"(?iu){_any(W.SWITCHES)}", ""), (r":[a-z]{2,3}:(?=[^\s\]])", ""), (rf"(?miud)^\s*(?:{_any(W.AUTHORITY)})\s*$", ""),
-    (rf"(?miud)^\s*\*?\s*(?!CATEGORIES)(?:{_any(W.CATEGORY)}):[^\n]+$", ""), (r"(?md)^\s*\*\s*$", ""), (r"\n{3,}", "\n\n"),
+    (rf"(?miud)^\s*(?:\*\s*)?(?!CATEGORIES)(?:{_any(W.CATEGORY)}):[^\n]+$", ""), (r"(?md)^\s*\*\s*$", ""), (r"\n{3,}", "\n\n"),
 ]
 
 

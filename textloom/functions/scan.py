@@ -143,7 +143,7 @@ _PARAMS = frozenset(x.lower() for x in W.IMAGE_PARAMS)
 def pipe_trick(target: str) -> str:
     """What a link shows whose label was left empty."""
     target = re.sub(r"\A[^:]+:", "", target, count=1)
-    target = re.sub(r"\s*\([^)]+\)\s*\Z", "", target, count=1)
+    target = re.sub(r"\s*[(][^)]+[)]\s*\Z", "", target, count=1)
     return re.sub(r"\s*,.*\Z", "", target, count=1).strip()
 
 
@@ -189,7 +189,7 @@ _TAGS = {
 _TAG_MARKS = {k: [re.compile(rf"<{t}[^>]*>.*?</{t}>", re.S | re.I) for t in v] for k, v in _TAGS.items()}
 _TAG_MARKS["references"] = [re.compile(r"<references\s*/>", re.I), re.compile(r"<references[^>]*>.*?</references>", re.S | re.I)]
 _TEMPLATE_MARKS = {
-    "math": re.compile(r"\{\{(?:mvar|math)\s*\|", re.I), "chem": re.compile(r"\{\{(?:ce|chem)\s*\|", re.I), "ipa": re.compile(r"\{\{IPAc?(?:-[a-z]{2,3})?\s*\|", re.I),
+    "math": re.compile(r"\{\{(?:mvar|math)\s*\|", re.I), "chem": re.compile(r"\{\{(?:ce|chem)\s*\|", re.I), "ipa": re.compile(r"\{{2}IPAc?(?:-[a-z][a-z][a-z]?)?\s*\|", re.I),
     "infobox": re.compile(r"\{\{[iI]nfobox"), "navbox": re.compile(r"\{\{[nN]avbox"), "sidebar": re.compile(r"\{\{[sS]idebar"), "references": re.compile(r"\{\{[rR]eflist"),
 }
 _REF_BEGIN, _REF_END = re.compile(r"\{\{refbegin", re.I), re.compile(r"\{\{refend\s*\}\}", re.I)
@@ -397,19 +397,19 @@ _STEPS: list[tuple[re.Pattern, str]] = [
         (r"\|{2,}", 0, ""),
         (r"\|\s*$", re.M, ""),
         (r"^[^\S\n]*\|[^|\n]*$\n?", re.M, ""),
-        (r"^[^\S\n]*\|?\w+=[\w\s-]+(?:\|\w+=[\w\s-]+)+[^\S\n]*$", re.M, ""),
+        (r"^[^\S\n]*\|?(?:\w+=[-\s\w]+\|)+\w+=[-\s\w]+[^\S\n]*$", re.M, ""),
         (_ALONE["remnants"].pattern, re.I | re.M, ""),
-        (rf"^(?:{W.any_of(W.FILE)}):[^\n]+\|[^\n]+$", re.I | re.M, ""),
+        (rf"^(?:{W.any_of(W.FILE)}):.+\|.+$", re.I | re.M, ""),
         (rf"\[\[(?:{W.any_of(W.FILE)}):[^\]]*\|?\s*$", re.I | re.M, ""),
         (r"(?:(?<=\s)|^)([^\n\[\]|]+)\]\]", re.M, r"\1"),
-        (r"\[\[[^\n\[\]]*$|^\s*\]\]\s*$", re.M, ""),
+        (r"\[{2}[^][\n]*$|^\s*\]{2}\s*$", re.M, ""),
         (r"(?<=[^\n\[\]|])\|([^\n\[\]|]+)\]\](?!\])", 0, r"\1"),
         (rf"\{{\{{\s*(?:{W.any_of(W.SORT_WORDS)})[^}}]*\}}\}}", re.I, ""),
         (rf"^(?:{W.any_of(W.SORT_WORDS)})[^\n]*$", re.I | re.M, ""),
         (_SWITCH.pattern, re.I, ""),
         (r":[a-z]{2,3}:(?=[^\s\]])", 0, ""),
         (_ALONE["authority"].pattern, re.I | re.M, ""),
-        (rf"^\s*\*?\s*(?!CATEGORIES)(?:{W.any_of(W.CATEGORY)}):[^\n]+$", re.I | re.M, ""),
+        (rf"^\s*(?:\*\s*)?(?!CATEGORIES)(?:{W.any_of(W.CATEGORY)}):[^\n]+$", re.I | re.M, ""),
         (rf"^\s*(?:{W.any_of(W.PROJECTS)}|Wikimedia\s*Commons|Commons\s*cat(?:egory)?)(?::|$)", re.I | re.M, ""),
         (r"^\s*\*\s*$", re.M, ""),
         (r"\n{3,}", 0, "\n\n"),

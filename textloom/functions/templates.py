@@ -449,7 +449,7 @@ def ordinal(n: int) -> str:
     return "th" if n % 100 in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
 
 
-_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%d %B %Y", "%B %d, %Y", "%Y")
+_FORMATS = tuple("%Y|%B %d, %Y|%d %B %Y|%Y/%m/%d|%Y-%m-%d".split("|"))
 
 
 def parsed_date(text: str) -> dt.datetime | None:
@@ -556,8 +556,8 @@ def _clock(t: dt.datetime) -> dict[str, str]:
 
 
 _WORD = re.compile(r"\{\{\s*([A-Za-z][A-Za-z0-9]*)\s*\}\}")
-_CALL = re.compile(r"\{\{\s*(lcfirst|ucfirst|lc|uc|urlencode|anchorencode|padleft|padright|formatnum|plural|grammar|gender|int)\s*:\s*([^}]*)\}\}", re.I)
-_PARTS = re.compile(r"\{\{\s*#titleparts\s*:\s*([^}]+)\}\}", re.I)
+_CALL = re.compile(r"(?i)\{{2}\s*(lcfirst|ucfirst|lc|uc|urlencode|anchorencode|padleft|padright|formatnum|plural|grammar|gender|int)\s*:\s*([^}]*)\}{2}")
+_PARTS = re.compile(r"\{{2}\s*[#]titleparts\s*:\s*([^}]+)\}{2}", re.I)
 
 
 def _call(m: re.Match) -> str:

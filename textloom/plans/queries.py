@@ -62,7 +62,7 @@ def query(sql: str | None = None):
 
 Q3, Q2 = "repeat(chr(39), 3)", "repeat(chr(39), 2)"
 
-# ---- links, marks and HTML ------------------------------------------------------------------------------------------
+# links, marks and HTML
 
 case("interwiki_links", CUSTOMERS, "c_custkey", "concat('[[', n_name, '|', c_mktsegment, ']] of [[', c_name, ']]')", U.links, "c_mktsegment || ' of ' || c_name")
 case("flat_links", CUSTOMERS, "c_custkey", "concat('[[', n_name, '|', c_mktsegment, ']] of [[', c_name, ']]')", C.flat_links, "c_mktsegment || ' of ' || c_name")
@@ -95,7 +95,7 @@ case("unbalanced_links", "part", "p_partkey", "concat('[[', p_name, CASE WHEN p_
 case("heading_level", "part", "p_partkey", "concat(repeat('=', p_size % 6), ' ', p_name)", C.heading_level, "CASE WHEN p_size % 6 = 0 THEN 2 ELSE p_size % 6 END")
 case("heading_text", "part", "p_partkey", "concat('== ', p_name, ' ==')", C.heading_text, "p_name")
 
-# ---- markers, templates and tables ----------------------------------------------------------------------------------
+# markers, templates and tables
 
 case("marker_math", "part", "p_partkey", "concat(p_name, '<math>', p_size, '</math>{{math|x}}')", U.marked, "p_name || '[MATH][MATH]'")
 case("marker_code", "part", "p_partkey", "concat('<code>', p_name, '</code>', p_brand, '<pre>\\n', p_size, '</pre>')", U.marked, "'[CODE]' || p_brand || '[CODEBLOCK]'")
@@ -115,7 +115,7 @@ case("inline_templates", "part", "p_partkey", "concat('{{lang|fr|', p_name, '}}
 case("template_content", "part", "p_partkey", "concat('name|a=', p_brand, '|', p_name)", U.template_content, "p_name")
 case("plain_text", CUSTOMERS, "c_custkey", f"concat({Q3}, c_name, {Q3}, ' is in [[', n_name, '|', r_name, ']]. {{{{convert|100|C|F}}}}')", U.plain, "c_name || ' is in ' || r_name || '. 100 °C (212 °F)'")
 
-# ---- template expander ----------------------------------------------------------------------------------------------
+# template expander
 
 Y, M, D = "year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)"
 MDY, DMY = "strftime(o_orderdate, '%B %-d, %Y')", "strftime(o_orderdate, '%-d %B %Y')"
@@ -164,7 +164,7 @@ template("tmpl_fraction", "part", "p_partkey", "concat('{{frac|', p_size, '}} {{
 template("tmpl_as_of", "orders", "o_orderkey", f"concat('{{{{as of|', {Y}, '|', {M}, '|', {D}, '}}}} {{{{as of|', {Y}, '}}}} {{{{sic}}}} {{{{wikt|a|b}}}}')", f"'As of ' || {MDY} || ' As of ' || {Y} || ' [sic] b'")
 template("tmpl_nested", "part", "p_partkey", "concat('{{nowrap|{{small|', p_name, '}} {{frac|1|', p_size, '}}}}{{no such|x}}')", "p_name || ' 1/' || p_size")
 
-# ---- parser functions -----------------------------------------------------------------------------------------------
+# parser functions
 
 
 def function(name: str, tables: str, key: str, source: str, expected: str) -> None:
@@ -193,7 +193,7 @@ function("pf_time", "orders", "o_orderkey", "concat('{{#time:Y-m-d j F, D|', dat
 # the outer function is evaluated first: its condition is the text of the inner one, which isn't blank
 function("pf_nested", "part", "p_partkey", "concat('{{#if:{{#ifeq:', p_size, '|7|x}}|{{#expr:', p_size, '+1}}|no}}')", "CAST(p_size + 1 AS VARCHAR)")
 
-# ---- magic words ----------------------------------------------------------------------------------------------------
+# magic words
 
 TITLE = "concat(p_brand, '/', p_size, '/', p_partkey)"
 
@@ -219,7 +219,7 @@ case("urlencode_native", "part", "p_partkey", "p_type", C.form_encoded, "replace
 case("age_native", "orders", "o_orderkey", "to_date(o_orderdate)", lambda d: C.age(d, F.lit(dt.date(2024, 6, 15))), AGE)
 case("date_native", "orders", "o_orderkey", "to_date(o_orderdate)", lambda d: F.concat_ws(";", C.written_date(d), C.written_date(d, True)), f"{MDY} || ';' || {DMY}")
 
-# ---- filters and small measures -------------------------------------------------------------------------------------
+# filters and small measures
 
 case("category_name", NATIONS, "n_nationkey", "concat('Category: ', n_name, ' ')", C.category_name, "n_name")
 case("cleanup_whitespace", "part", "p_partkey", "concat('\\n\\n', p_name, '   x\\n \\n\\n\\n', p_brand, ' ()\\n|row\\n*\\nCategory:Z\\nreflist\\n')", U.cleaned, f"p_name || ' x' || {NL} || {NL} || p_brand || {NL} || {NL}")
@@ -249,7 +249,7 @@ def redirect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourced(spark, sf_dir, NATIONS, "n_nationkey", text).select("n_nationkey", C.redirect_target("text").alias("target"), C.is_redirect("text").alias("redirect"))
 
 
-# ---- articles -------------------------------------------------------------------------------------------------------
+# articles
 
 ARTICLE = (
     f"concat({Q3}, c_name, {Q3}, ' is in [[', n_name, '|', c_mktsegment, ']].<ref>r</ref>\\n\\n== Account ==\\nBalance {{{{convert|100|C|F}}}}.\\n* item\\n{{|\\n| x\\n|}}\\n=== ', c_mktsegment,"
@@ -394,7 +394,7 @@ def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.page_stats(sourced(spark, sf_dir, "nation", "CASE WHEN n_nationkey % 2 = 0 THEN concat('#REDIRECT [[', n_name, ']]  ') ELSE n_name END AS text"))
 
 
-# ---- index, lookups, cache ------------------------------------------------------------------------------------------
+# index, lookups, cache
 
 INDEX = "concat((o_orderkey div 100) * 1000, ':', o_orderkey, ':Title: ', o_orderkey) AS value"
 
@@ -497,7 +497,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.upserted(old, sourced(spark, sf_dir, "customer", "c_custkey AS key", "'new' AS state").where("key % 2 = 0"), "key")
 
 
-# ---- category graph -------------------------------------------------------------------------------------------------
+# category graph
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -539,7 +539,7 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.category_tree(edges, roots.where("name = 'World'"), 3).select("root", F.array_join("path", ">").alias("path"), "depth")
 
 
-# ---- the flagship ---------------------------------------------------------------------------------------------------
+# the flagship
 
 
 @query(f"SELECT n_name AS category, count(*) AS articles, 2 * count(*) AS headings, sum(length({BODY}))::BIGINT AS characters FROM {CUSTOMERS} GROUP BY 1")
