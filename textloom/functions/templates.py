@@ -556,7 +556,7 @@ def _clock(t: dt.datetime) -> dict[str, str]:
 
 
 _WORD = re.compile(r"\{\{\s*([A-Za-z][A-Za-z0-9]*)\s*\}\}")
-_CALL = re.compile(r"(?i)\{{2}\s*(lcfirst|ucfirst|lc|uc|urlencode|anchorencode|padleft|padright|formatnum|plural|grammar|gender|int)\s*:\s*([^}]*)\}{2}")
+_CALL = re.compile(r"(?i)\{{2}\s*(lcfirst|ucfirst|lc|uc|urlencode|anchorencode|padleft|padright|formatnum|plural|grammar|gender|int)\s*[:]\s*([^}]*)[}]{2}")
 _PARTS = re.compile(r"\{{2}\s*[#]titleparts\s*:\s*([^}]+)\}{2}", re.I)
 
 
