@@ -3,9 +3,9 @@
 Documents with the same set of n-grams are one point. Pivots are documents: every n-gram belongs to the point of
 the smallest digest that has it, so a point's n-grams fall to a few pivots, mostly itself and those that it is
 near to. The n-grams that a point has from a pivot bound its overlap with everything else in that pivot's region:
-a point is replicated into those regions only in which it can have a partner within the radius, rarest region
-first, and stays out of regions (of a passage that thousands of documents share, say) whose n-grams, with all
-that follow, are too few. Inside a region the join is recursive: pivots from the region create Voronoi cells,
+a point is replicated into those regions only in which it can have a partner within the radius, the nearest
+region first, and stays out of regions (of a passage that thousands of documents share, say) whose n-grams, with
+all that follow, are too few. Inside a region the join is recursive: pivots from the region create Voronoi cells,
 points within the triangle inequality's window of a cell are replicated into it, and cells of few points are
 joined by counting. Every distance that is reported is exact.
 """
@@ -254,11 +254,18 @@ def similar_pairs(docs: DataFrame, size: int = 5, least: float = 0.45) -> DataFr
     own = own.join(points.select("x", "n", "doc_id"), "x")
     shares = edges.join(own.select("x", "n", "doc_id"), "x").select("x", "p", "w", "n", "doc_id")
     shares = shares.union(own.select("x", F.col("x").alias("p"), F.col("n") - F.col("w"), "n", "doc_id"))
-    sized = shares.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("p"))).where("size > 1")
-    # shares of regions that nobody else is in can't be in common, so they count as spent
-    order = Window.partitionBy("x").orderBy(F.desc("size"), F.desc("p"))
+    # Regions that hold most of a member's n-grams come first, by the mean share of the members weighted by shares;
+    # passages that many share, and n-grams met by chance, come last. Integers, so that every task ranks alike. Shares
+    # of regions that nobody else is in can't be in common, so they count as spent; so does what a share has above the
+    # second largest of its region, as no other member has it.
+    region = Window.partitionBy("p")
+    part = F.when(F.col("x") == F.col("p"), 0).otherwise(F.floor(F.col("w") * 1000000 / F.col("n"))).cast("long")
+    falling = region.orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = shares.withColumn("second", F.nth_value("w", 2).over(falling)).where("second > 0").withColumn("part", part).withColumn("w", F.least("w", "second"))
+    ranked = sized.withColumn("rank", F.expr("sum(part * part) OVER (PARTITION BY p) div greatest(1L, sum(part) OVER (PARTITION BY p))")).drop("part")
+    order = Window.partitionBy("x").orderBy("rank", "p")
     suffix = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = sized.withColumn("left", suffix).where(F.col("left") >= F.ceil(F.lit(least) * F.col("n") - 1e-9))
+    inside = ranked.withColumn("left", suffix).where(F.col("left") >= F.ceil(F.lit(least) * F.col("n") - 1e-9))
     members = inside.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("p"))).where("k > 1").select("doc_id", "x", "p")
     members = written(members)
     maybe = sieve(members.select("doc_id"))
