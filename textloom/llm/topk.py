@@ -14,104 +14,140 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.llm._tables import written
+from textloom.llm._tables import partitions, written
 
-_BLOCK = "block int, ids binary, vectors binary, table binary, reach double, low array<double>, high array<double>"
-_NEAR = "vec_id long, neighbour_id long, distance double"
+_BLOCK = "block int, ids binary, vectors binary, radius binary, reach double, low array<double>, high array<double>"
+_NEAR = "vec_id long, rank int, neighbour_id long, distance double"
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of a and b, by matrix product; off by rounding."""
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(d, 0))
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances of all rows of a and b, by matrix product; off by rounding."""
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T), 0)
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, q_table: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row, candidate's row, distance) of each query's k nearest candidates within its bound; ties by
-    smaller id. A query isn't its own candidate."""
+def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.sqrt(((x[a : a + 128, None] - pivots[None]) ** 2).sum(axis=2)) for a in range(0, len(x), 128)] or [np.zeros((0, len(pivots)))])
+
+
+def nearest(q_ids: np.ndarray, q: np.ndarray, q_table: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int, step: int = 256) -> Found:
+    """(query's row, candidate's row, distance): for every query its k nearest candidates within its bound, and
+    more that tie by rounding. A query isn't its own candidate.
+
+    256 queries at a time go through the candidates in the order of their lower bounds, `step` by `step`, by matrix
+    product; a query leaves once all bounds left exceed its k-th best. What comes out has exact distances."""
     rows, cols, dist = [], [], []
+    t, scale = np.ascontiguousarray(table.T, np.float32), 1 + max(float(np.abs(table).max(initial=0)), float(np.abs(q_table).max(initial=0)))
     for a in range(0, len(q), 256):
         z = slice(a, min(a + 256, len(q)))
-        low = np.zeros((z.stop - a, len(x)))
-        for p in range(table.shape[1]):
-            np.maximum(low, np.abs(q_table[z, p, None] - table[None, :, p]), out=low)
-        low[q_ids[z, None] == ids[None]] = np.inf
-        order = np.argsort(low, axis=1)
-        best = np.full((len(low), k), np.inf)
-        who = np.full((len(low), k), -1)
-        at, step = 0, max(4 * k, 64)
-        open_ = np.arange(len(low))
-        while at < len(x) and len(open_):
-            limit = np.minimum(best[open_, -1], bound[z][open_])
-            open_ = open_[low[open_, order[open_, at]] <= limit + 1e-9]
-            if not len(open_):
+        low, part = np.zeros((z.stop - a, len(x)), np.float32), np.empty((z.stop - a, len(x)), np.float32)
+        for p in range(len(t)):
+            np.subtract(q_table[z, p, None].astype(np.float32), t[p][None], out=part)
+            np.maximum(low, np.abs(part, out=part), out=low)
+        order = np.argsort(low.min(axis=0), kind="stable")
+        cuts = np.arange(0, len(x), step)
+        left = np.minimum.accumulate(np.minimum.reduceat(low[:, order], cuts, axis=1)[:, ::-1], axis=1)[:, ::-1] - 1e-5 * scale
+        d, worst = np.full(low.shape, np.inf), bound[z].astype(np.float64)
+        for c, at in enumerate(cuts):
+            on = np.flatnonzero(left[:, c] <= worst)
+            if not len(on):
                 break
-            c = order[open_, at : at + step]
-            d = np.sqrt(((q[z][open_][:, None] - x[c]) ** 2).sum(axis=2))
-            d[~np.isfinite(low[open_[:, None], c])] = np.inf
-            both, near = np.concatenate([best[open_], d], axis=1), np.concatenate([who[open_], c], axis=1)
-            key = np.where(near < 0, np.iinfo(np.int64).max, ids[near])
-            top = np.lexsort((key, both), axis=1)[:, :k]
-            best[open_], who[open_] = np.take_along_axis(both, top, 1), np.take_along_axis(near, top, 1)
-            at, step = at + step, 2 * step
-        r, c = np.nonzero(np.isfinite(best) & (best <= bound[z][:, None] + 1e-9))
+            o = order[at : at + step]
+            here = squares(q[z][on], x[o])
+            here[q_ids[z][on][:, None] == ids[o][None]] = np.inf
+            d[on[:, None], o] = here
+            if min(at + step, len(x)) >= k:
+                done = d[on[:, None], order[: at + step]]
+                worst[on] = np.minimum(worst[on], np.sqrt(np.partition(done, k - 1, axis=1)[:, k - 1]) + 1e-6 * scale)
+        r, c = np.nonzero(np.isfinite(d) & (d <= ((worst + 1e-6 * scale) ** 2)[:, None]))
         rows.append(a + r)
-        cols.append(who[r, c])
-        dist.append(best[r, c])
-    return tuple(np.concatenate(v) if v else np.zeros(0) for v in (rows, cols, dist))
+        cols.append(c)
+        dist.append(np.sqrt(((q[a + r] - x[c]) ** 2).sum(axis=1)))
+    if not rows:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+
+
+def best_of(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance, rank from 1) of the k least of each row, ties by smaller id; each id once."""
+    order = np.lexsort((ids, dist, rows))
+    rows, ids, dist = rows[order], ids[order], dist[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+    rows, ids, dist = rows[new], ids[new], dist[new]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+    keep = rank <= k
+    return rows[keep], ids[keep], dist[keep], rank[keep]
+
+
+def _radius(n: int, rows: np.ndarray, dist: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    out = np.full(n, np.inf)
+    out[rows[rank == k]] = dist[rank == k]
+    return out
 
 
 def _cells(centres: np.ndarray):
     @F.arrow_udf("int")
     def of(x: pa.Array) -> pa.Array:
-        v = x.flatten().to_numpy().reshape(len(x), -1)
-        return pa.array(distances(v, centres).argmin(axis=1).astype(np.int32))
+        v = x.flatten().to_numpy().astype(np.float64).reshape(len(x), -1)
+        return pa.array(squares(v, centres).argmin(axis=1).astype(np.int32))
 
     return of
 
 
-def _pack(pivots: np.ndarray, k: int):
+def _pack(pivots: np.ndarray, k: int, kind: str):
     def f(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
-        x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        x = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        table = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(axis=2)) if len(x) * pivots.size < 1 << 22 else np.concatenate([np.sqrt(((x[a : a + 128, None] - pivots[None]) ** 2).sum(axis=2)) for a in range(0, len(x), 128)])
-        r, _, d = nearest(ids, x, table, np.full(len(x), np.inf), ids, x, table, k)
-        radius = np.full(len(x), np.inf)
-        full = np.bincount(r.astype(np.int64), minlength=len(x)) == k
-        worst = np.zeros(len(x))
-        np.maximum.at(worst, r.astype(np.int64), d)
-        radius[full] = worst[full]
+        table = pivot_table(x, pivots)
+        r, c, d = nearest(ids, x, table, np.full(len(x), np.inf), ids, x, table, k)
+        r, _, d, rank = best_of(r, ids[c], d, k)
+        radius = _radius(len(x), r, d, rank, k)
         return pa.table({
-            "block": pa.array([t.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()),
-            "table": pa.array([np.concatenate([table, radius[:, None]], axis=1).tobytes()], pa.binary()), "reach": pa.array([float(radius.max())]),
-            "low": pa.array([table.min(axis=0).tolist()]), "high": pa.array([table.max(axis=0).tolist()]),
+            "block": pa.array([t.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.astype(kind).tobytes()], pa.binary()),
+            "radius": pa.array([radius.tobytes()], pa.binary()), "reach": pa.array([float(radius.max())]), "low": pa.array([table.min(axis=0).tolist()]), "high": pa.array([table.max(axis=0).tolist()]),
         })
 
     return f
 
 
-def _meet(pivots: int, k: int):
-    def block(r: dict, s: str) -> tuple[np.ndarray, ...]:
-        ids = np.frombuffer(r["ids" + s], np.int64)
-        table = np.frombuffer(r["table" + s]).reshape(len(ids), pivots + 1)
-        return ids, np.frombuffer(r["vectors" + s]).reshape(len(ids), -1), table[:, :pivots], table[:, pivots]
+def _meet(pivots: np.ndarray, k: int, kind: str):
+    """Rows come sorted by block of queries and by gap: first the block itself, then those that it may reach."""
+
+    def read(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.frombuffer(r["ids"], np.int64)
+        x = np.frombuffer(r["vectors"], kind).astype(np.float64).reshape(len(ids), -1)
+        return ids, x, pivot_table(x, pivots)
+
+    def out(q_ids: np.ndarray, best: tuple) -> pa.RecordBatch:
+        rows, ids, dist, rank = best
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(dist)], names=["vec_id", "rank", "neighbour_id", "distance"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q, best = None, (), ()
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                q_ids, q, q_table, radius = block(r, "")
-                ids, x, table, _ = block(r, "_d")
-                low, high = table.min(axis=0), table.max(axis=0)
-                gap = np.maximum(np.maximum(low - q_table, q_table - high), 0).max(axis=1)
-                on = np.flatnonzero(gap <= radius + 1e-9)
+                ids, x, table = read(r)
+                if r["block"] != now:
+                    if now is not None:
+                        yield out(q[0], best)
+                    now, q = r["block"], (ids, x, table)
+                    bound, best = np.frombuffer(r["radius"]).copy(), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+                gap = np.maximum(np.maximum(table.min(axis=0) - q[2], q[2] - table.max(axis=0)), 0).max(axis=1)
+                on = np.flatnonzero(gap <= bound + 1e-9)
                 if not len(on):
                     continue
-                a, b, d = nearest(q_ids[on], q[on], q_table[on], radius[on], ids, x, table, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[on][a.astype(np.int64)]), pa.array(ids[b.astype(np.int64)]), pa.array(d)], names=["vec_id", "neighbour_id", "distance"])
+                a, b, d = nearest(q[0][on], q[1][on], q[2][on], bound[on], ids, x, table, k)
+                best = best_of(np.append(best[0], on[a]), np.append(best[1], ids[b]), np.append(best[2], d), k)
+                bound = np.minimum(bound, _radius(len(bound), best[0], best[2], best[3], k))
+        if now is not None:
+            yield out(q[0], best)
 
     return f
 
@@ -119,14 +155,14 @@ def _meet(pivots: int, k: int):
 def _spread(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first choice of pivots."""
     out = [sample[0]]
-    far = distances(sample, sample[:1])[:, 0]
+    far = squares(sample, sample[:1])[:, 0]
     while len(out) < min(count, len(sample)) and far.max() > 0:
         out.append(sample[int(far.argmax())])
-        far = np.minimum(far, distances(sample, out[-1][None])[:, 0])
+        far = np.minimum(far, squares(sample, out[-1][None])[:, 0])
     return np.array(out)
 
 
-def top_k(vectors: DataFrame, k: int = 10, pivots: int = 32, block: int = 2048, sample: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, pivots: int = 32, block: int = 4096, sample: int = 4096) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every vector, exactly.
 
     Takes vec_id and embedding. Distances are Euclidean, in double precision. Pivots, and the centres of blocks,
@@ -153,14 +189,12 @@ def top_k(vectors: DataFrame, k: int = 10, pivots: int = 32, block: int = 2048,
     cell = rows.withColumn("cell", _cells(centres)("v"))
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("vec_id"), "vec_id")) - 1
     blocked = cell.withColumn("block", F.hash("cell", F.floor(place / block))).select("block", "vec_id", "v")
-    blocks = written(blocked.groupBy("block").applyInArrow(_pack(chosen, k), _BLOCK))
+    kind = "float32" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "float64"
+    blocks = written(blocked.groupBy("block").applyInArrow(_pack(chosen, k, kind), _BLOCK))
     ends = blocks.select("block", "reach", "low", "high")
-    other = ends.select(F.col("block").alias("block_d"), F.col("low").alias("low_d"), F.col("high").alias("high_d"))
-    gaps = F.zip_with(F.zip_with("low", "high_d", lambda a, b: a - b), F.zip_with("low_d", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
-    pairs = ends.crossJoin(other).where(F.array_max(gaps) <= F.col("reach") + 1e-9).select("block", "block_d")
-    data = blocks.select("block", "ids", "vectors", "table")
-    met = pairs.join(data, "block").join(data.select(*[F.col(c).alias(c + "_d") for c in data.columns]), "block_d")
-    met = met.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, "block", "block_d")
-    near = met.mapInArrow(_meet(len(chosen), k), _NEAR)
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "distance")
+    other = ends.select(F.col("block").alias("other"), F.col("low").alias("low_d"), F.col("high").alias("high_d"))
+    gaps = F.array_max(F.zip_with(F.zip_with("low", "high_d", lambda a, b: a - b), F.zip_with("low_d", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
+    pairs = ends.crossJoin(other).withColumn("gap", F.when(F.col("block") == F.col("other"), -1.0).otherwise(F.greatest(gaps, F.lit(0.0)))).where(F.col("gap") <= F.col("reach") + 1e-9)
+    data = blocks.select(F.col("block").alias("other"), "ids", "vectors", "radius")
+    met = pairs.select("block", "other", "gap").join(data, "other").repartition(max(1, min(blocks.count(), 4 * partitions(spark))), "block").sortWithinPartitions("block", "gap", "other")
+    return met.select("block", "ids", "vectors", "radius").mapInArrow(_meet(chosen, k, kind), _NEAR)
