@@ -73,7 +73,7 @@ def test_near_kept(docs, corpus, nothing):
             i = parent[i]
         return i
 
-    for a, b, _ in near_expected(corpus, 0.45):
+    for a, b, _ in near_expected(corpus, 0.4):
         x, y = sorted((top(a), top(b)))
         parent[y] = x
     expected = sorted(str((r[0], r[1])) for r in corpus if r[0] is None or top(r[0]) == r[0])

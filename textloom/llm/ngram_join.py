@@ -230,7 +230,7 @@ def _regions(size: int, least: float):
     return f
 
 
-def similar_pairs(docs: DataFrame, size: int = 5, least: float = 0.45) -> DataFrame:
+def similar_pairs(docs: DataFrame, size: int = 5, least: float = 0.4) -> DataFrame:
     """(doc_a, doc_b, jaccard): the exact join of documents whose sets of `size`-word n-grams have a Jaccard
     similarity of `least` or more.
 
@@ -275,7 +275,7 @@ def similar_pairs(docs: DataFrame, size: int = 5, least: float = 0.45) -> DataFr
     return joined.dropDuplicates(["doc_a", "doc_b"]).union(copies)
 
 
-def without_similar(docs: DataFrame, size: int = 5, least: float = 0.45) -> DataFrame:
+def without_similar(docs: DataFrame, size: int = 5, least: float = 0.4) -> DataFrame:
     """docs without the documents that are linked, through pairs of similar_pairs(), to one of smaller doc_id; all
     columns. Rows that share the doc_id which stays are that document, and all stay, as do rows of null doc_id."""
     groups = written(components(similar_pairs(docs, size, least).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))))

@@ -75,7 +75,7 @@ ORACLE_SQL: dict[str, str] = {
         each AS (SELECT doc_id, n, unnest(g) AS x FROM points),
         pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS i
                   FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-        SELECT doc_a, doc_b, i::DOUBLE / (na + nb - i)::DOUBLE AS jaccard FROM pairs WHERE i::DOUBLE / (na + nb - i)::DOUBLE >= 0.45
+        SELECT doc_a, doc_b, i::DOUBLE / (na + nb - i)::DOUBLE AS jaccard FROM pairs WHERE i::DOUBLE / (na + nb - i)::DOUBLE >= 0.4
         UNION ALL
         SELECT p.doc_id, s.doc_id, 1.0::DOUBLE FROM sets s JOIN points p ON s.g = p.g WHERE s.doc_id > p.doc_id""",
     "op9_suffix_dedup": f"""
