@@ -216,9 +216,11 @@ def _cut_templates(text: str, pattern: re.Pattern, by: str) -> str:
 
 
 def mark(text: str, on: tuple[str, ...]) -> str:
+    if "<" not in text and "{" not in text:
+        return text
     for kind in MARKERS:
         by = _sign(kind) if kind in on else ""
-        for pattern in _TAG_MARKS.get(kind, ()):
+        for pattern in _TAG_MARKS.get(kind, ()) if "<" in text else ():
             text = pattern.sub(by, text)
         if kind == "table" and by:
             text = nested(text, "{|", "|}", lambda _, by=by: by)
@@ -231,7 +233,7 @@ def mark(text: str, on: tuple[str, ...]) -> str:
 
 
 def marks_shown(text: str) -> str:
-    for kind in MARKERS:
+    for kind in MARKERS if "««" in text else ():
         text = text.replace(_sign(kind), f"[{kind.upper()}]")
     return text
 
@@ -352,6 +354,7 @@ _DASH = re.compile(r"\{(?:–|ndash|mdash)\}")
 _RULE = re.compile(r"^\s*-{4,}\s*$", re.M)
 _TAG = re.compile(r"<[^<>]*>")
 _REF_MARK = re.compile(r"\[ref\](.*?)\[/ref\]", re.S)
+_MARKS = (("__", _SWITCH, ""), ("''", _EMPHASIS, r"\2"), ("{", _DASH, "–"), ("----", _RULE, ""), ("<", _TAG, ""))
 _NOWIKI = re.compile(r"<nowiki>(.*?)</nowiki>", re.S)
 
 
@@ -370,8 +373,9 @@ def plain(text: str, markers=None, cite: bool = False, ref: bool = False, inline
     text = external_links(links(text))
     text = text.replace("«ref»", "[ref]").replace("«/ref»", "[/ref]") if ref else text
     text = re.sub(r"<nowiki-(\d+)>", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", text)
-    text = _EMPHASIS.sub(r"\2", _SWITCH.sub("", text))
-    text = _TAG.sub("", _RULE.sub("", _DASH.sub("–", text)))
+    for has, pattern, by in _MARKS:
+        if has in text:
+            text = pattern.sub(by, text)
     if not inline:
         text = without_templates(inline_templates(text, on, cite))
     return text if table or "table" in on else without_tables(text)
@@ -417,8 +421,15 @@ _STEPS: list[tuple[re.Pattern, str]] = [
 ]
 
 
+#: What a text must hold for each step to find anything.
+_NEEDED = (
+    "[ref]", "File:", "|", "{{", "}}", "{|", "|}", "\n\n\n", "\n", "  ", "", "||", "|", "|", "=", "", "|", "[[", "]]", "", "]]", "{{", "", "__", ":", "", ":", "", "*", "\n\n\n",
+)
+
+
 def cleaned(text: str) -> str:
     """Removes remnants of markup and folds white space; ends in an empty line."""
-    for pattern, by in _STEPS:
-        text = pattern.sub(by, text)
+    for (pattern, by), has in zip(_STEPS, _NEEDED, strict=True):
+        if has in text:
+            text = pattern.sub(by, text)
     return text.strip() + "\n\n"

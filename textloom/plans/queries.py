@@ -258,8 +258,9 @@ ARTICLE = (
 
 
 def synthesized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, title, text): an article for each customer."""
-    return sourced(spark, sf_dir, CUSTOMERS, "c_custkey", "c_name AS title", f"{ARTICLE} AS text")
+    """(c_custkey, title, text): an article for each customer, spread over all cores: the table is one small file."""
+    rows = sourced(spark, sf_dir, CUSTOMERS, "c_custkey", "c_name AS title", f"{ARTICLE} AS text")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
 
 
 BODY = f"c_name || ' is in ' || c_mktsegment || '.' || {NL} || {NL} || '==Account==' || {NL} || {NL} || 'Balance 100 °C (212 °F).' || {NL} || {NL} || '===' || c_mktsegment || '===' || {NL} || {NL} || 'More.'"
