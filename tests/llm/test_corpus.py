@@ -92,6 +92,35 @@ def test_related_documents_meet(spark):
     assert sum(a % 100 == b % 100 for a, b in zip(order, order[1:], strict=False)) >= 50
 
 
+def test_neighbours_are_the_nearest(spark, docs, corpus):
+    """All of the k nearest, of documents that share from a twentieth to four tenths of their n-grams too."""
+    rng = random.Random(9)
+    rows = [(r[0], r[1]) for r in corpus if r[0] is not None and r[0] != 100]
+    for f in range(20):
+        b = [f"t{f}w{rng.randrange(4000)}" for _ in range(200)]
+        for c, share in enumerate((20, 40, 60, 80, 110, 120)):
+            at = rng.randrange(200 - share + 1)
+            v = [f"t{f}c{c}w{rng.randrange(4000)}" for _ in range(200 - share)]
+            rows.append((1000 + 10 * f + c, " ".join(v[: c * 10] + b[at : at + share] + v[c * 10 :])))
+    sets = {}
+    for i, t in rows:
+        w = tx.plain_words(t)
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = defaultdict(list)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = df.mapInArrow(packing._digests(5), "doc_id long, n long, x long, size long")
+    for r in packing.neighbours(df, signed, 5, 4).collect():
+        assert abs(r["score"] - jaccard(r["a"], r["b"])) < 1e-9
+        got[r["a"]].append(r["score"])
+    low = 0
+    for i in sets:
+        expected = sorted((s for j in sets if j != i and sets[i] and (s := jaccard(i, j)) > 0), reverse=True)[:4]
+        assert sorted(got[i], reverse=True) == pytest.approx(expected)
+        low += sum(0.05 <= s <= 0.4 for s in expected)
+    assert low > 100
+
+
 def test_walk():
     edges = [(1, 2, 5), (2, 3, 9), (2, 4, 1), (3, 4, 2), (7, 8, 1)]
     assert packing.walk(edges) == [1, 2, 3, 4, 7, 8]
