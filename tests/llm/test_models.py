@@ -77,6 +77,36 @@ def test_lm_prefers_sense(spark):
     assert all(got[i] > got[1000 + i] for i in range(10))
 
 
+def test_lm_trains_on_every_word(spark, monkeypatch):
+    """With the production defaults, each word is masked."""
+    seen = []
+    whole = L.partial
+
+    def noted(f, *args):
+        if f is L._trained:
+            seen.append(args[1:3])
+        return whole(f, *args)
+
+    monkeypatch.setattr(L, "partial", noted)
+    text = [f"w{i % 97}" for i in range(5000)]
+    df = spark.createDataFrame([(i, " ".join(text[i * 50 : i * 50 + 50])) for i in range(100)], "doc_id long, text string")
+    known, place, often = L.vocabulary(df)[:3]
+    L.train(df, known, place, often)
+    assert len(seen) > 1 and {e for e, _ in seen} == {seen[0][0]}
+    assert {t for _, t in seen} == set(range(seen[0][0]))
+    with pytest.raises(ValueError, match="leave words out"):
+        L.train(df, known, place, often, rounds=2, every=3)
+
+
+def test_lm_defaults_prefer_sense(spark):
+    rng = random.Random(4)
+    text = lambda: [f"a{(k * 7) % 40}" for k in range(rng.randrange(40), 240)]
+    good = [text() for _ in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(good)] + [(1000 + i, " ".join(rng.sample(t, len(t)))) for i, t in enumerate(good[:10])]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in L.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] > got[1000 + i] + 0.5 for i in range(10))
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5, 9):

@@ -2,8 +2,8 @@
 
 The network sees the words on both sides of a masked word and predicts it: position-wise embeddings of the
 neighbours are summed and squashed, and a two-level softmax gives the word's class and the word in it. It is
-trained by data-parallel passes over the whole corpus: every task walks through its documents with Adagrad on
-masked words of each, and the tasks' parameters are averaged, weighted by the words they saw.
+trained by data-parallel passes over the whole corpus, which together mask every word: every task walks through its
+documents with Adagrad on a pass's words, and the tasks' parameters are averaged, weighted by the words they saw.
 """
 
 from __future__ import annotations
@@ -249,15 +249,18 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return top[order], order.astype(np.int64), often
 
 
-def train(docs: DataFrame, known: np.ndarray, place: np.ndarray, often: np.ndarray, rounds: int = 2, every: int = 16, rate: float = 0.15, seed: int = 11) -> np.ndarray:
-    """Parameters after `rounds` passes over the corpus, each masking another `every`-th part of all words."""
+def train(docs: DataFrame, known: np.ndarray, place: np.ndarray, often: np.ndarray, rounds: int = 2, every: int = 2, rate: float = 0.15, seed: int = 11) -> np.ndarray:
+    """Parameters after `rounds` passes over the corpus, each masking another `every`-th part of all words;
+    there are as many passes as parts, or more, so that every word is masked."""
+    if rounds < every:
+        raise ValueError(f"{rounds} passes leave words out that are masked in {every} parts")
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
     x = flat(initial(seed, often))
     parts = -(-len(x) // _SLICE)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((x, known, place))
-        local = texts.mapInArrow(partial(_trained, sent, every, turn, rate), "part int, x binary, n double")
+        local = texts.mapInArrow(partial(_trained, sent, every, turn % every, rate), "part int, x binary, n double")
         mean = local.repartition(min(parts, partitions(spark)), "part").mapInArrow(_averaged, "part int, x binary")
         got = {r["part"]: np.frombuffer(r["x"], np.float32) for r in mean.collect()}
         if got:
@@ -265,7 +268,7 @@ def train(docs: DataFrame, known: np.ndarray, place: np.ndarray, often: np.ndarr
     return x
 
 
-def scores(docs: DataFrame, rounds: int = 2, every: int = 16, seed: int = 11) -> DataFrame:
+def scores(docs: DataFrame, rounds: int = 2, every: int = 2, seed: int = 11) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) for every row of docs.
 
     log_prob sums, over all words of the text, the log-probability of the word given up to two words on either
