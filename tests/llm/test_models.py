@@ -98,6 +98,26 @@ def test_lm_trains_on_every_word(spark, monkeypatch):
         L.train(df, known, place, often, rounds=2, every=3)
 
 
+def test_lm_words_add_up(spark, monkeypatch):
+    """Words that share a number differ by their counts, and all words of the corpus add up to 1, over many chunks."""
+    monkeypatch.setattr(L, "_CHUNK", 300)
+    words = [f"u{i}" for i in range(6000)]
+    times = {w: 1 + i % 4 if i >= 2500 else 9 for i, w in enumerate(words)}
+    rows = [(i, w) for i, w in enumerate(words)] + [(10000, " ".join(w for w in words for _ in range(times[w] - 1)))]
+    got = {r["doc_id"]: r["log_prob"] for r in L.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(rows) and abs(sum(np.exp(got[i]) for i in range(len(words))) - 1) < 1e-2
+    import pyarrow as pa
+
+    shared = {}
+    for i, h in enumerate(tx.scan(pa.array(words)).hash.tolist()):
+        if times[words[i]] < 9:
+            shared.setdefault(h % (L.V - L.KNOWN), []).append(i)
+    pairs = [(a, b) for g in shared.values() for a, b in zip(g, g[1:], strict=False) if times[words[a]] != times[words[b]]]
+    assert len(pairs) > 100
+    for a, b in pairs:
+        assert got[a] - got[b] == pytest.approx(np.log(times[words[a]] / times[words[b]]), abs=1e-4)
+
+
 def test_lm_defaults_prefer_sense(spark):
     rng = random.Random(4)
     text = lambda: [f"a{(k * 7) % 40}" for k in range(rng.randrange(40), 240)]

@@ -4,6 +4,9 @@ The network sees the words on both sides of a masked word and predicts it: posit
 neighbours are summed and squashed, and a two-level softmax gives the word's class and the word in it. It is
 trained by data-parallel passes over the whole corpus, which together mask every word: every task walks through its
 documents with Adagrad on a pass's words, and the tasks' parameters are averaged, weighted by the words they saw.
+
+The most frequent words have numbers of their own. The others share numbers, and such a word's probability is its
+number's times its part of what the number counts in the corpus, so that all words of the corpus add up to 1.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,9 @@ SIDE = 2
 DIM = 32
 _SHAPES = {"e": (2 * SIDE, V + 1, DIM), "b": (DIM,), "c": (DIM, CLASSES), "cb": (CLASSES,), "m": (CLASSES, DIM, MEMBERS), "mb": (CLASSES, MEMBERS)}
 _SLICE = 1 << 15
+_CHUNK = 1 << 20  # words without a number of their own that a task holds
+_PARTIAL = "chunk string, bucket int, doc_id array<long>, n array<long>, total array<double>, doc binary, code binary, words binary, counts binary"
+_KINDS = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), *[pa.binary()] * 4)
 Params = dict[str, np.ndarray]
 
 
@@ -225,25 +232,79 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(s / n).astype(np.float32).tobytes() for s, n in total.values()], pa.binary())], names=["part", "x"])
 
 
-def _scored(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    x, known, place = sent.value
-    p = unflat(x)
+def _scored(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in chunks: of each, the sum without the counts of words that share a number, and where such words
+    are; and the chunk's distinct words of this kind with their counts, by ranges of hashes."""
+    x, known, place, often = sent.value
+    p, part = unflat(x), TaskContext.get().partitionId()
+    log = np.log(np.maximum(often, 1))
+    held: list[tuple] = []
+    size = chunks = 0
+
+    def rows() -> pa.RecordBatch:
+        ids, n, total, doc, words = zip(*held, strict=True)
+        base = np.cumsum([0, *map(len, n)])
+        name, code, count = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        chunk, bucket = f"{part}-{chunks}", ((name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        doc = np.concatenate([d + k for d, k in zip(doc, base, strict=False)])
+        out = [(chunk, None, sum(ids, []), np.concatenate(n).tolist(), np.concatenate(total).tolist(), doc.astype(np.int32).tobytes(), code.astype(np.int32).tobytes(), None, None)]
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            z = slice(cut[k], cut[k + 1])
+            out.append((chunk, int(k), None, None, None, None, None, name[z].tobytes(), count[z].astype(np.int64).tobytes()))
+        names = [c.split(" ")[0] for c in _PARTIAL.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=names)
+
     for batch in batches:
         for piece in tx.pieces(batch, "text"):
             ids, ctx, w = _read(piece, known, place)
-            n = np.diff(w.first)
-            total = np.bincount(w.doc(), weights=log_probs(p, ctx, ids), minlength=len(n)) if len(ids) else np.zeros(len(n))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            n, doc, rare = np.diff(w.first), w.doc(), ids >= KNOWN
+            total = np.bincount(doc, weights=log_probs(p, ctx, ids) - np.where(rare, log[ids], 0), minlength=len(n)) if len(ids) else np.zeros(len(n))
+            held.append((piece.column("doc_id").to_pylist(), n, total, doc[rare], w.hash[rare]))
+            size += int(rare.sum()) + len(n)
+            if size > _CHUNK:
+                yield rows()
+                held, size, chunks = [], 0, chunks + 1
+    if held:
+        yield rows()
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the words of each chunk, the logarithms of their counts in the corpus; a task has all chunks of its buckets."""
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            held.setdefault(r["bucket"], []).append((r["chunk"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64)))
+    for bucket in sorted(held):
+        chunk, words, counts = zip(*held.pop(bucket), strict=True)
+        _, at = np.unique(np.concatenate(words), return_inverse=True)
+        log = np.log(np.bincount(at, weights=np.concatenate(counts)))[at]
+        parts = np.split(log, np.cumsum([len(x) for x in words])[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array([bucket] * len(chunk), pa.int32()), tx.binary(parts)], names=["chunk", "bucket", "logs"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            n, total = np.array(r["n"], np.int64), np.array(r["total"], float)
+            if r["code"]:
+                log = np.concatenate([np.frombuffer(x["logs"], np.float64) for x in sorted(r["parts"], key=lambda x: x["bucket"])])
+                total += np.bincount(np.frombuffer(r["doc"], np.int32), weights=log[np.frombuffer(r["code"], np.int32)], minlength=len(n))
+            out = pa.RecordBatch.from_arrays([pa.array(r["doc_id"], pa.int64()), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            for a in range(0, out.num_rows, 1 << 16):
+                yield out.slice(a, 1 << 16)
 
 
 def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted hashes of the most frequent words of the corpus, their numbers by rank, how often each number
-    occurs); ties by hash. What the other words count is shared out evenly among their numbers."""
+    occurs); ties by hash. A number that words share has the sum of their counts."""
     counts = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     rows = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
     top, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], float)
-    often = np.full(V, ((counts.agg(F.sum("n")).first()[0] or 0) - n.sum()) / (V - KNOWN))
-    often[:KNOWN] = 0
+    often = np.zeros(V)
+    for r in counts.groupBy(F.col("h").bitwiseAND(V - KNOWN - 1).alias("k")).agg(F.sum("n").alias("n")).collect():
+        often[KNOWN + r["k"]] = r["n"]
+    np.subtract.at(often, KNOWN + (top % np.uint64(V - KNOWN)).astype(np.int64), n)
     often[: len(n)] = n
     order = np.argsort(top)
     return top[order], order.astype(np.int64), often
@@ -272,14 +333,20 @@ def scores(docs: DataFrame, rounds: int = 2, every: int = 2, seed: int = 11) ->
     """(doc_id, n_words, log_prob, mean_log_prob) for every row of docs.
 
     log_prob sums, over all words of the text, the log-probability of the word given up to two words on either
-    side; mean_log_prob divides it by the number of words. The vocabulary is counted, and the network trained, on
-    all texts of docs; what comes to the driver is the network, of fixed size.
+    side; mean_log_prob divides it by the number of words. All words are counted, and the network trained, on
+    all texts of docs; what comes to the driver is the network, of fixed size. The counts stay in the executors.
 
     Null, empty and wordless texts: 0 words, log_prob 0, mean_log_prob null. Rows of null doc_id are scored like
     others, repeated rows each get the same score. No documents: no rows. Ties in word counts go by hash. Other
     columns are ignored, whatever their names.
     """
     known, place, often = vocabulary(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((train(docs, known, place, often, rounds, every, seed=seed), known, place))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((train(docs, known, place, often, rounds, every, seed=seed), known, place, often))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_scored, sent), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    parts = partitions(spark)
+    partial_ = written(rows.mapInArrow(partial(_scored, sent, parts), _PARTIAL))
+    words = partial_.where("bucket is not null").select("chunk", "bucket", "words", "counts").repartitionById(parts, F.col("bucket"))
+    logs = words.mapInArrow(_weighed, "chunk string, bucket int, logs binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logs")).alias("parts"))
+    chunks = partial_.where("bucket is null").select("chunk", "doc_id", "n", "total", "doc", "code").join(logs, "chunk", "left")
+    return chunks.mapInArrow(_summed, "doc_id long, n_words long, log_prob double, mean_log_prob double")
