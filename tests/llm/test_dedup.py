@@ -36,6 +36,13 @@ def test_exact_kept(docs, corpus, nothing):
     assert exact_dedup.copies(nothing).collect() == [] and exact_dedup.without_copies(nothing).collect() == []
 
 
+def test_exact_kept_of_one_id(spark):
+    """A doc_id that stands for two texts, each of them repeated, keeps a row of both."""
+    rows = [(5, "text a"), (5, "text a"), (5, "text b"), (5, "text b"), (6, "text b"), (7, "text c"), (5, None), (5, None)]
+    kept = exact_dedup.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert listed(kept) == sorted([(5, "text a"), (5, "text b"), (7, "text c"), (5, None)], key=str)
+
+
 def grams(text, n=5):
     w = tx.plain_words(text)
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])

@@ -79,6 +79,6 @@ def without_copies(docs: DataFrame, fan: int = 8) -> DataFrame:
     full = digested(docs.select(F.struct(*docs.columns).alias("_row_"), F.col("text"))).withColumnRenamed("digest", clash)
     found = full.join(gone, (F.col("_row_.doc_id").cast("long") == gone["_id_"]) & (full[clash] == gone[clash]), "left")
     sure = found.where("_same_ is null").select("_row_.*")
-    order = Window.partitionBy("_id_").orderBy(F.xxhash64("_row_"))
+    order = Window.partitionBy("_id_", gone[clash]).orderBy(F.xxhash64("_row_"))
     again = found.where("_same_").withColumn("_k_", F.row_number().over(order)).where("_k_ = 1").select("_row_.*")
     return sure.union(again)
