@@ -146,7 +146,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     pair_id is the page that the page was compared with; n_lines counts its visible lines; text holds those that
     aren't on the pair's page. The host is the URL's, in lower case; the path ends before ? and #. Both neighbours
     sharing equally much of the path, the one before is taken; pages of equal path come by page_id. A neighbour
-    whose lines are all the same is a copy and tells nothing of the template: then the other one is taken.
+    whose lines are all the same is a copy and tells nothing of the template: then the other one is taken. Where
+    that is a copy too, or missing, there is no pair and all lines stay, even if the host has other pages.
 
     A null URL, or one without host, or a host with no second page: no pair, and all lines stay. Null and empty
     html: no lines, text ''. Null page_id: the page takes part like others. Repeated rows count once in the
