@@ -56,11 +56,15 @@ def heading_level(line: str) -> int:
     return len(re.match(r"=*", line)[0]) or 2
 
 
-def parse(text: str, strip_marks: bool = False) -> list[tuple[str, str, int | None]]:
-    """(type, text, level) of every element; only headings have a level."""
+#: Beginnings of lines that may be other than a paragraph; others are only if they hold one of the signs.
+_BEGINS, _SIGNS = frozenset("{[=*#:;<＃"), re.compile("[<#＃]")
+
+
+def parse(text: str, strip_marks: bool = False, ready: str | None = None) -> list[tuple[str, str, int | None]]:
+    """(type, text, level) of every element; only headings have a level. `ready` is prepared(text), if it is known."""
     out: list[list] = []
     mode, depth = "", 0
-    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", prepared(text)):
+    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", prepared(text) if ready is None else ready):
         if mode == "mw_ml_template":
             end, depth = _closing(line, depth)
             out[-1][1] += line if end < 0 else line[:end]
@@ -75,6 +79,9 @@ def parse(text: str, strip_marks: bool = False) -> list[tuple[str, str, int | No
             mode = "" if over else mode
             continue
         bare = line[:-1] if line.endswith("\n") else line
+        if bare and bare[0] not in _BEGINS and not bare[0].isspace() and not _SIGNS.search(bare):
+            out.append(["mw_paragraph", "\n" + line, None])
+            continue
         kind, opens = next(((k, o) for k, p, o in _KINDS if p.search(bare)), ("mw_paragraph", False))
         if kind == "mw_ml_link" and line.count("[[") <= line.count("]]"):
             kind, opens = "mw_paragraph", False
@@ -264,7 +271,8 @@ def _json(record: dict) -> str:
 
 def render(title: str, text: str, o: Options = Options()) -> str | None:  # noqa: B008
     """An article in the mode and format of the options; None if it is to be skipped."""
-    elements, cats = parse(text), categories(prepared(text))
+    ready = prepared(text)
+    elements, cats = parse(text, ready=ready), categories(ready)
     shown = plain(title.strip(), o)
     as_json = o.format == "json"
     if o.mode == "metadata":

@@ -239,3 +239,24 @@ def fresh(at: Column, now: Column, days: int) -> Column:
 
 def category_name(name: Column | str) -> Column:
     return F.trim(replaced(name, "^[Cc]ategory:"))
+
+
+def eta(done: Column, total: Column, elapsed: Column) -> Column:
+    """Seconds that are left at the rate so far; null where that can't be told."""
+    known = (done > 0) & (total > 0) & (done <= total) & (elapsed > 0)
+    return F.when(known, (total - done) * elapsed / done)
+
+
+def eta_text(seconds: Column) -> Column:
+    """hh:mm:ss, mm:ss below an hour, >99h above 99 of them; --:--:-- for null, negative or endless."""
+    s = F.floor(seconds).cast("long")
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    text = F.when(h > 99, ">99h").when(h > 0, F.format_string("%02d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
+    return F.when(seconds.isNull() | (seconds < 0) | F.isnan(seconds) | (seconds == float("inf")), "--:--:--").otherwise(text)
+
+
+def numbered(name: Column, width: Column, end: str = "txt") -> Column:
+    """A file name whose last number has `width` digits, with an ending."""
+    number = F.regexp_extract(name, r"-(\d+)$", 1)
+    padded = F.concat(F.regexp_extract(name, r"^(.*-)\d+$", 1), F.lpad(number, width, "0"))
+    return F.concat(F.when(number == "", name).otherwise(padded), F.lit(f".{end}"))

@@ -115,9 +115,10 @@ _AREA = re.compile(r"^(?:default|circle|poly|rect)\s+[\s\d]+.*$", re.I | re.M)
 
 
 def without_html(text: str) -> str:
-    text = _SELF_CLOSED.sub("", _COMMENT.sub("", text))
-    for tag in reversed(W.BLOCK_TAGS):
-        text = nested(text, f"<{tag}", f"{tag}>", lambda _: "")
+    if "<" in text:
+        text = _SELF_CLOSED.sub("", _COMMENT.sub("", text))
+        for tag in reversed(W.BLOCK_TAGS) if "<" in text else ():
+            text = nested(text, f"<{tag}", f"{tag}>", lambda _: "")
     return _AREA.sub("", text)
 
 
@@ -355,11 +356,14 @@ _RULE = re.compile(r"^\s*-{4,}\s*$", re.M)
 _TAG = re.compile(r"<[^<>]*>")
 _REF_MARK = re.compile(r"\[ref\](.*?)\[/ref\]", re.S)
 _MARKS = (("__", _SWITCH, ""), ("''", _EMPHASIS, r"\2"), ("{", _DASH, "–"), ("----", _RULE, ""), ("<", _TAG, ""))
+_SIGNS = ("[", "{", "<", "''", "__", "----")  # a text without any of them has no markup
 _NOWIKI = re.compile(r"<nowiki>(.*?)</nowiki>", re.S)
 
 
 def plain(text: str, markers=None, cite: bool = False, ref: bool = False, inline: bool = False, table: bool = False) -> str:
     """Wikitext without markup. References go before external links are read, as their brackets look like those."""
+    if not any(sign in text for sign in _SIGNS):
+        return text
     on = chosen(markers)
     text = without_complex(mark(text, tuple(m for m in on if m != "references") if cite else on))
     kept: list[str] = []

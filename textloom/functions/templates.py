@@ -595,6 +595,7 @@ def magic(text: str, title: str, space: str = "", now: dt.datetime = REFERENCE)
     """Page names, times of `now`, and string functions; unknown words stay."""
     if "{{" not in text:
         return text
-    known = _pages(title or "", space) | _clock(now)
-    text = _WORD.sub(lambda m: known.get(m[1].upper(), m[0]), text)
+    if _WORD.search(text):
+        known = _pages(title or "", space) | _clock(now)
+        text = _WORD.sub(lambda m: known.get(m[1].upper(), m[0]), text)
     return _PARTS.sub(_segments, _CALL.sub(_call, text))

@@ -15,8 +15,9 @@ ELEMENTS = "array<struct<pos:int,type:string,text:string,level:int>>"
 _ELEMENT = pa.list_(pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("level", pa.int32())]))
 
 
-def scanner(f: Callable, kind: str = "string", arrow: pa.DataType | None = None) -> Callable[..., Column]:
-    """A column function of f, which sees one text, or several, at a time; null in, null out."""
+def scanner(f: Callable, kind: str = "string", arrow: pa.DataType | None = None, once: bool = False) -> Callable[..., Column]:
+    """A column function of f, which sees one text, or several, at a time; null in, null out. With `once`, filters on
+    the result stay above it: the optimizer would evaluate it again for a filter pushed below a projection."""
     arrow = arrow or pa.string()
 
     def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -27,7 +28,11 @@ def scanner(f: Callable, kind: str = "string", arrow: pa.DataType | None = None)
         for column in batches:
             yield pa.array([None if x is None else f(x) for x in column.to_pylist()], arrow)
 
-    return lambda *c: arrow_udf(one if len(c) == 1 else many, kind)(*c)
+    def column(*c: Column) -> Column:
+        made = arrow_udf(one if len(c) == 1 else many, kind)
+        return (made.asNondeterministic() if once else made)(*c)
+
+    return column
 
 
 def _elements(text: str) -> list[dict]:
@@ -62,7 +67,7 @@ def plain(text: Column, options: article.Options = article.Options()) -> Column:
 
 
 def rendered(title: Column, text: Column, options: article.Options = article.Options()) -> Column:  # noqa: B008
-    return scanner(lambda t, x: article.render(t, x or "", options))(title, text)
+    return scanner(lambda t, x: article.render(t, x or "", options), once=True)(title, text)
 
 
 def sections(text: Column, options: article.Options) -> Column:

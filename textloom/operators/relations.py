@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.columns import category_name, fresh
+from textloom.sources.scratch import written
+
 
 def by_titles(index: DataFrame, titles: DataFrame) -> DataFrame:
     """Index entries of the titles asked for. Spark broadcasts the smaller side if its size allows."""
     return index.join(titles.select("title").distinct(), "title", "left_semi")
 
 
+def by_ids(index: DataFrame, ids: DataFrame) -> DataFrame:
+    return index.join(ids.select("page_id").distinct(), "page_id", "left_semi")
+
+
 def missing_titles(titles: DataFrame, index: DataFrame) -> DataFrame:
     return titles.join(index.select("title"), "title", "left_anti")
 
@@ -32,6 +39,13 @@ def stream_ranges(index: DataFrame) -> DataFrame:
     return index.select("offset").distinct().withColumn("next_offset", F.lead("offset").over(order))
 
 
+def streams_through(index: DataFrame, titles: DataFrame) -> DataFrame:
+    """(offset, next_offset) of the streams from the first to the last that holds a title asked for: the part of a
+    dump that has to be there. No title found: no stream."""
+    last = streams_needed(index, titles).agg(F.max("offset").alias("last"))
+    return stream_ranges(index).join(F.broadcast(last), F.col("offset") <= F.col("last")).drop("last")
+
+
 def first_streams(index: DataFrame, n: int) -> DataFrame:
     """Entries of the first n streams: their offsets by top-n, then a semi join."""
     return index.join(index.select("offset").distinct().orderBy("offset").limit(n), "offset", "left_semi")
@@ -43,7 +57,7 @@ def first_articles(index: DataFrame, n: int) -> DataFrame:
 
 def random_articles(index: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n entries in an order shuffled by hash, the same each time."""
-    return index.orderBy(F.xxhash64("title", F.lit(seed)), "title").limit(n)
+    return index.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "title")), "title").limit(n)
 
 
 # category graph
@@ -52,19 +66,26 @@ def random_articles(index: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, name, depth): categories within `depth` steps of each root, by the shortest way; cycles end there.
 
-    Breadth first: every round joins the newest categories with the edges, and drops the ones known."""
-    found = roots.select(F.col("name").alias("root"), "name", F.lit(0).alias("depth")).distinct()
+    Breadth first: every round joins the newest categories with the edges, and drops the ones known. Rounds are
+    written, so that each has a plan of two joins, and the walk ends when there is nothing new."""
+    found = written(roots.select(F.col("name").alias("root"), "name", F.lit(0).alias("depth")).distinct())
     new = found
     for step in range(1, depth + 1):
         there = new.join(edges, new["name"] == edges["parent"]).select("root", F.col("child").alias("name")).distinct()
-        new = there.join(found.select("root", "name"), ["root", "name"], "left_anti").withColumn("depth", F.lit(step))
+        new = written(there.join(found.select("root", "name"), ["root", "name"], "left_anti").withColumn("depth", F.lit(step)))
+        if new.isEmpty():
+            break
         found = found.unionByName(new)
     return found
 
 
 def pages_within(edges: DataFrame, members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Distinct (root, page) of all categories within `depth` steps; members is (category, page)."""
-    return reachable(edges, roots, depth).join(members, F.col("name") == F.col("category")).select("root", "page").distinct()
+    return _pages_of(reachable(edges, roots, depth), members)
+
+
+def _pages_of(tree: DataFrame, members: DataFrame) -> DataFrame:
+    return tree.join(members, F.col("name") == F.col("category")).select("root", "page").distinct()
 
 
 def preview(edges: DataFrame, members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -75,7 +96,7 @@ def preview(edges: DataFrame, members: DataFrame, roots: DataFrame, depth: int)
     counts = tree.join(per, F.col("name") == F.col("category"), "left").groupBy("root").agg(
         F.count("*").alias("categories"), (F.count("*") - 1).alias("subcategories"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_articles")
     )
-    distinct = pages_within(edges, members, roots, depth).groupBy("root").agg(F.count("*").alias("distinct_articles"))
+    distinct = _pages_of(tree, members).groupBy("root").agg(F.count("*").alias("distinct_articles"))
     return counts.join(distinct, "root", "left").withColumn("distinct_articles", F.coalesce("distinct_articles", F.lit(0)))
 
 
@@ -89,9 +110,31 @@ def category_tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def counted_tree(edges: DataFrame, members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, name, parent, depth, page_count, cached): the categories within `depth` steps, each below the least of
+    the nearest parents, with its number of pages; cached, whether anything is known of it."""
+    tree = reachable(edges, roots, depth)
+    above = tree.select("root", F.col("name").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    up = tree.join(edges, tree["name"] == edges["child"]).join(above, ["root", "parent", "depth"]).groupBy("root", "name").agg(F.min("parent").alias("parent"))
+    pages = members.groupBy(F.col("category").alias("name")).agg(F.count("*").alias("page_count"))
+    known = pages.select("name").union(edges.select("parent")).distinct().withColumn("cached", F.lit(True))
+    out = tree.join(up, ["root", "name"], "left").join(pages, "name", "left").join(known, "name", "left")
+    return out.select("root", "name", "parent", "depth", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 # caches
 
 
+def cached(cache: DataFrame, edges: DataFrame, members: DataFrame, names: DataFrame, now, days: int) -> DataFrame:
+    """(name, pages, subcats) of the names that are cached and fresh; names come with or without their namespace."""
+    wanted = names.select(category_name("name").alias("name")).distinct()
+    there = cache.where(fresh(F.col("cached_at"), F.lit(now).cast("timestamp"), days)).join(wanted, "name", "left_semi").select("name")
+    pages = members.groupBy(F.col("category").alias("name")).agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    below = edges.groupBy(F.col("parent").alias("name")).agg(F.sort_array(F.collect_list("child")).alias("subcats"))
+    none = F.array().cast("array<string>")
+    return there.join(pages, "name", "left").join(below, "name", "left").select("name", F.coalesce("pages", none).alias("pages"), F.coalesce("subcats", none).alias("subcats"))
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of new, and of old those whose key new doesn't have."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
@@ -107,8 +150,14 @@ def without_expired(cache: DataFrame, edges: DataFrame, now, days: int, key: str
     return cache.join(gone, F.col(key) == F.col("gone"), "left_anti"), edges.join(gone, F.col(edge_key) == F.col("gone"), "left_anti")
 
 
-def cache_stats(cache: DataFrame) -> DataFrame:
-    return cache.agg(F.count("*").alias("entries"), F.min("cached_at").alias("oldest"), F.max("cached_at").alias("newest"))
+def expired_count(cache: DataFrame, now, days: int) -> DataFrame:
+    """One row: how many categories without_expired() removes."""
+    return expired(cache, now, days).agg(F.count("*").alias("removed"))
+
+
+def cache_stats(cache: DataFrame, *by: str) -> DataFrame:
+    """Number of entries, and the oldest and newest; of each group, where columns are named."""
+    return cache.groupBy(*by).agg(F.count("*").alias("entries"), F.min("cached_at").alias("oldest"), F.max("cached_at").alias("newest"))
 
 
 def size_buckets(rows: DataFrame, text: str, order: str, limit: int, *group: str) -> DataFrame:

@@ -6,6 +6,7 @@ without the operator.
 
 from __future__ import annotations
 
+import bz2
 import datetime as dt
 from collections.abc import Callable
 from functools import partial
@@ -18,7 +19,8 @@ from textloom.functions import udfs as U
 from textloom.functions.article import Options
 from textloom.operators import articles as A
 from textloom.operators import relations as R
-from textloom.sources import dumps, scratch
+from textloom.sources import dumps, index_cache, scratch, settings, sinks
+from textloom.streaming import arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "benchmark", "labels", "embeddings")
@@ -257,10 +259,16 @@ ARTICLE = (
 )
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, for scanners, where the table is one small file; a table of many files lies so already."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
+
+
 def synthesized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, title, text): an article for each customer, spread over all cores: the table is one small file."""
     rows = sourced(spark, sf_dir, CUSTOMERS, "c_custkey", "c_name AS title", f"{ARTICLE} AS text")
-    return rows.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    return spread(rows, "c_custkey")
 
 
 BODY = f"c_name || ' is in ' || c_mktsegment || '.' || {NL} || {NL} || '==Account==' || {NL} || {NL} || 'Balance 100 °C (212 °F).' || {NL} || {NL} || '===' || c_mktsegment || '===' || {NL} || {NL} || 'More.'"
@@ -330,7 +338,7 @@ SECTIONED = "concat('Lead ', o_orderkey, '\\n== Childhood ==\\nBorn ', o_orderst
 
 def _sections(name: str, options: Options, expected: dict[str, str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = sourced(spark, sf_dir, "orders", "o_orderkey", f"{SECTIONED} AS text").withColumn("s", U.sections(F.col("text"), options))
+        rows = spread(sourced(spark, sf_dir, "orders", "o_orderkey", f"{SECTIONED} AS text"), "o_orderkey").withColumn("s", U.sections(F.col("text"), options))
         return rows.select("o_orderkey", *[F.col("s")[t].alias(f"s{i}") for i, t in enumerate(options.sections)])
 
     QUERIES[name] = run
@@ -443,9 +451,9 @@ def first_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_articles(index(spark, sf_dir), 25).select("page_id")
 
 
-@query()
+@query("SELECT o_orderkey AS page_id FROM orders ORDER BY md5('7|Title: ' || o_orderkey), 'Title: ' || o_orderkey LIMIT 25")
 def random_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.random_articles(index(spark, sf_dir), 25, seed=7)
+    return R.random_articles(index(spark, sf_dir), 25, seed=7).select("page_id")
 
 
 @query("SELECT o_custkey AS owner, max(o_orderkey) AS page_id FROM orders GROUP BY 1")
@@ -481,8 +489,7 @@ def output_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS entries, min(ts) AS oldest, max(ts) AS newest FROM events GROUP BY 1")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.count("*").alias("entries"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+    return R.cache_stats(table(spark, sf_dir, "events").withColumnRenamed("ts", "cached_at"), "event_type")
 
 
 @query("SELECT event_id, user_id FROM events WHERE NOT ts < TIMESTAMP '2024-01-20' - INTERVAL 10 DAY")
@@ -540,6 +547,222 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.category_tree(edges, roots.where("name = 'World'"), 3).select("root", F.array_join("path", ">").alias("path"), "depth")
 
 
+_GRAPH_10 = _GRAPH.replace("w.depth < 3", "w.depth < 10")
+
+
+@query(f"{_GRAPH_10} SELECT root, name, depth FROM tree")
+def category_reach_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, _, roots = graph(spark, sf_dir)
+    return R.reachable(edges, roots, 10)
+
+
+@query(
+    f"{_GRAPH} SELECT t.root, t.name, (SELECT min(e.parent) FROM edges e JOIN tree u ON u.name = e.parent AND u.root = t.root AND u.depth = t.depth - 1 WHERE e.child = t.name) AS parent, t.depth,"
+    " (SELECT count(*) FROM members WHERE category = t.name) AS page_count, true AS cached FROM tree t"
+)
+def category_counted_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.counted_tree(*graph(spark, sf_dir), 3)
+
+
+_FRESH = "CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2024-06-10' ELSE TIMESTAMP '2024-01-01' END"
+
+
+def category_cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nations as cached categories, every second one too old; region edges; customers as pages."""
+    cache = sourced(spark, sf_dir, "nation", "n_name AS name", f"{_FRESH} AS cached_at")
+    edges = sourced(spark, sf_dir, NATIONS, "n_name AS parent", "r_name AS child")
+    return cache, edges, sourced(spark, sf_dir, "customer JOIN nation ON c_nationkey = n_nationkey", "n_name AS category", "c_name AS page")
+
+
+@query(
+    f"SELECT n_name AS name, coalesce((SELECT string_agg(c_name, '|' ORDER BY c_name) FROM customer WHERE c_nationkey = n_nationkey), '') AS pages, r_name AS subcats FROM {NATIONS} WHERE n_nationkey % 2 = 0 AND n_nationkey < 20"
+)
+def cache_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sourced(spark, sf_dir, "nation", "concat('Category: ', n_name) AS name").where("name is not null")
+    few = names.join(sourced(spark, sf_dir, "nation", "concat('Category: ', n_name) AS name", "n_nationkey").where("n_nationkey < 20").select("name"), "name")
+    got = R.cached(*category_cache(spark, sf_dir), few, "2024-06-15", 7)
+    return got.select("name", F.array_join("pages", "|").alias("pages"), F.array_join("subcats", "|").alias("subcats"))
+
+
+@query("SELECT count(*) AS removed FROM nation WHERE n_nationkey % 2 <> 0")
+def cache_expired_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.expired_count(category_cache(spark, sf_dir)[0], "2024-06-15", 7)
+
+
+@query("WITH o AS (SELECT DISTINCT (o_orderkey // 100) * 1000 AS o FROM orders), m AS (SELECT max((o_orderkey // 100) * 1000) AS m FROM orders WHERE o_orderkey IN (SELECT c_custkey * 7 FROM customer WHERE c_custkey < 900)) SELECT o AS \"offset\" FROM o, m WHERE o <= m")
+def streams_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = sourced(spark, sf_dir, "customer", "concat('Title: ', c_custkey * 7) AS title", "c_custkey").where("c_custkey < 900")
+    return R.streams_through(index(spark, sf_dir), titles).select("offset")
+
+
+@query("SELECT o_orderkey AS page_id, 'Title: ' || o_orderkey AS title FROM orders WHERE o_orderkey IN (SELECT c_custkey * 3 FROM customer)")
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_ids(index(spark, sf_dir), sourced(spark, sf_dir, "customer", "c_custkey * 3 AS page_id")).select("page_id", "title")
+
+
+@query("SELECT count(*) AS articles FROM orders")
+def articles_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).agg(F.count("*").alias("articles"))
+
+
+case("eta_seconds", "orders", "o_orderkey", "o_orderkey % 200", lambda n: C.eta(n, F.lit(150), F.lit(60.0)), "CASE WHEN o_orderkey % 200 BETWEEN 1 AND 150 THEN (150 - o_orderkey % 200) * 60.0::DOUBLE / (o_orderkey % 200) END")
+case(
+    "eta_texts", "orders", "o_orderkey", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE cast(o_orderkey * 37 - 50 as double) END", C.eta_text,
+    "CASE WHEN o_orderkey % 11 = 0 OR o_orderkey * 37 < 50 THEN '--:--:--' WHEN (o_orderkey * 37 - 50) // 3600 > 99 THEN '>99h' WHEN o_orderkey * 37 - 50 >= 3600 THEN printf('%02d:%02d:%02d', (o_orderkey * 37 - 50) // 3600, (o_orderkey * 37 - 50) % 3600 // 60, (o_orderkey * 37 - 50) % 60) ELSE printf('%02d:%02d', (o_orderkey * 37 - 50) // 60, (o_orderkey * 37 - 50) % 60) END",
+)
+case("numbered_files", "part", "p_partkey", "concat('corpus-', p_size)", lambda n: C.numbered(n, F.lit(4)), "'corpus-' || lpad(p_size::VARCHAR, 4, '0') || '.txt'")
+
+
+# files: dumps, streams, sinks, caches
+
+PAGE_XML = "concat('<page><title>', n_name, '</title><ns>0</ns><id>', n_nationkey, '</id><revision><text>Nation ', n_nationkey, ' of [[', r_name, ']] &amp; more</text></revision></page>')"
+
+
+def multistream(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A multistream dump of the 25 nations with a stream for each region, and its index: a fixture of fixed size, so
+    that it may pass through the driver."""
+    rows = sourced(spark, sf_dir, NATIONS, "n_regionkey", "n_nationkey", "n_name", f"{PAGE_XML} AS xml").orderBy("n_nationkey").toPandas()
+    folder, at, lines, parts = scratch.place(spark), 0, [], [bz2.compress(b"<mediawiki>\n")]
+    at = len(parts[0])
+    for _, group in rows.groupby("n_regionkey"):
+        lines += [f"{at}:{k}:{name}" for k, name in zip(group["n_nationkey"], group["n_name"], strict=True)]
+        parts.append(bz2.compress("\n".join(group["xml"]).encode()))
+        at += len(parts[-1])
+    parts.append(bz2.compress(b"</mediawiki>\n"))
+    dumps.write_bytes(f"{folder}/nations-multistream.xml.bz2", b"".join(parts))
+    dumps.write_bytes(f"{folder}/index.txt", "\n".join(lines).encode())
+    return f"{folder}/nations-multistream.xml.bz2", f"{folder}/index.txt"
+
+
+_NATION_TEXT = "'Nation ' || n_nationkey || ' of [[' || r_name || ']] & more'"
+
+
+@query(f"SELECT n_nationkey AS page_id, n_name AS title, {_NATION_TEXT} AS text FROM {NATIONS}")
+def bz2_dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bzip2 multistream dump, read by blocks."""
+    return dumps.pages(spark, multistream(spark, sf_dir)[0]).select("page_id", "title", "text")
+
+
+@query("SELECT page_id, title, 'Balance of ' || page_id AS text FROM (SELECT c_custkey AS page_id, c_name AS title FROM customer)")
+def bz2_split_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a folder of several bzip2 parts, which are read in parallel."""
+    xml = "concat('<page><title>', c_name, '</title><id>', c_custkey, '</id><revision><text>Balance of ', c_custkey, '</text></revision></page>') AS value"
+    path = scratch.place(spark)
+    spread(sourced(spark, sf_dir, "customer", xml)).write.option("compression", "bzip2").text(f"{path}/dump.xml.bz2")
+    return dumps.pages(spark, f"{path}/dump.xml.bz2").select("page_id", "title", "text")
+
+
+@query(f"SELECT n_nationkey AS page_id, n_name AS title, {_NATION_TEXT} AS text FROM {NATIONS} WHERE n_nationkey % 3 = 0")
+def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by title: only the streams that hold them are read."""
+    dump, lines = multistream(spark, sf_dir)
+    titles = sourced(spark, sf_dir, "nation", "n_name AS title", "n_nationkey").where("n_nationkey % 3 = 0")
+    return dumps.articles(spark, dump, dumps.index(spark, lines), titles).select("page_id", "title", "text")
+
+
+@query(f"SELECT n_nationkey AS page_id, n_name AS title FROM {NATIONS} WHERE n_regionkey < 2")
+def stream_pages_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of given byte ranges through the data source."""
+    dump, lines = multistream(spark, sf_dir)
+    spark.dataSource.register(dumps.StreamSource)
+    ranges = R.stream_ranges(dumps.index(spark, lines)).orderBy("offset").limit(2).toPandas()
+    streams = ",".join(f"{int(a)}-{int(z)}" for a, z in zip(ranges["offset"], ranges["next_offset"], strict=True))
+    return spark.read.format("wikistreams").option("streams", streams).option("tasks", "2").load(dump).select("page_id", "title")
+
+
+@query("SELECT * FROM (VALUES ('bad.bz2', 'not bzip2'), ('broken.bz2', 'corrupt'), ('empty.bz2', 'empty'), ('nations-multistream.xml.bz2', NULL), ('short.bz2', 'too small'), ('size.bz2', 'bad block size'), ('text.bz2', 'not XML'), ('version.bz2', 'unknown version')) t(file, problem)")
+def bz2_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A good dump and seven bad ones."""
+    dump, _ = multistream(spark, sf_dir)
+    folder = dump.rpartition("/")[0]
+    long = bz2.compress(b"plain words, no markup")
+    for name, content in {"bad": b"x" * 40, "broken": b"BZh9" + b"y" * 40, "empty": b"", "short": b"BZh9", "size": b"BZhx" + b"y" * 40, "text": long, "version": b"BZ09" + b"y" * 40}.items():
+        dumps.write_bytes(f"{folder}/{name}.bz2", content)
+    return dumps.bz2_checked(spark, f"{folder}/*.bz2").select(F.substring_index("path", "/", -1).alias("file"), "problem")
+
+
+@query("SELECT * FROM (VALUES ('index.txt'), ('nations-multistream.xml.bz2')) t(file)")
+def files_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dumps.files(spark, multistream(spark, sf_dir)[0].rpartition("/")[0]).select(F.substring_index("path", "/", -1).alias("file"))
+
+
+@query("SELECT n_nationkey AS page_id, n_name AS title FROM nation")
+def index_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index through its cache: made at the first call, read at the second."""
+    _, lines = multistream(spark, sf_dir)
+    cache = scratch.place(spark)
+    index_cache.load(spark, lines, cache)
+    if not index_cache.valid(spark, lines, cache):
+        raise ValueError("the cache that was just made isn't valid")
+    return index_cache.load(spark, lines, cache).select("page_id", "title")
+
+
+_ROTATED = "SELECT p_partkey, strlen(p_name || ' ' || p_partkey) + 1 AS b FROM part"
+
+
+@query(f"SELECT 'parts-' || f || '.txt' AS file, count(*) AS records, sum(b)::BIGINT AS bytes FROM (SELECT b, floor(coalesce(sum(b) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 10485)::BIGINT + 1 AS f FROM ({_ROTATED})) GROUP BY f")
+def corpus_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to base-1.txt, base-2.txt ... of a hundredth of a megabyte, and counted by file."""
+    folder = scratch.place(spark)
+    sinks.write_rotated(sourced(spark, sf_dir, "part", "p_partkey", "concat(p_name, ' ', p_partkey) AS output"), folder, "parts", order="p_partkey", file_mb=0.01)
+    read = spark.read.text(f"{folder}/parts-*.txt").select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), "value")
+    return read.groupBy("file").agg(F.count("*").alias("records"), F.sum(F.octet_length("value") + 1).cast("long").alias("bytes"))
+
+
+@query("SELECT n_name AS title, 'nations.jsonl' AS file FROM nation")
+def corpus_single_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in one file of JSON lines."""
+    folder = scratch.place(spark)
+    rows = sourced(spark, sf_dir, "nation", "n_nationkey", "to_json(named_struct('title', n_name)) AS output")
+    sinks.write_rotated(rows, folder, "nations", order="n_nationkey", file_mb=0, json=True)
+    return spark.read.schema("title string").json(f"{folder}/nations.jsonl").select("title", F.substring_index(F.input_file_name(), "/", -1).alias("file"))
+
+
+@query(f"SELECT o_orderkey, 'Born ' || o_orderstatus || {NL} || {NL} || 'More'{END} AS result FROM orders")
+def sections_alias_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases from a file: a name that no built-in group has."""
+    path = scratch.place(spark)
+    dumps.write_bytes(path, b"# names of sections\nYouth and origins:\n  - Childhood\n  - 'Upbringing'\nWork: [Career, Jobs]\n")
+    options = Options(sections=("Youth and origins",), aliases=settings.aliases(path.removeprefix("file:")))
+    rows = spread(sourced(spark, sf_dir, "orders", "o_orderkey", f"{SECTIONED} AS text"), "o_orderkey")
+    return rows.select("o_orderkey", U.sections(F.col("text"), options)["Youth and origins"].alias("result"))
+
+
+@query(f"SELECT n_name AS title, r_name AS category FROM {NATIONS}")
+def stream_dump_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump that arrived in a folder, taken in as a stream of (title, category)."""
+    folder = scratch.place(spark)
+    xml = "concat('<page><title>', n_name, '</title><id>', n_nationkey, '</id><revision><text>x [[Category:', r_name, ']]</text></revision></page>') AS xml"
+    dumps.write_bytes(f"{folder}/in/dump.xml", "\n".join(sourced(spark, sf_dir, NATIONS, xml).toPandas()["xml"]).encode())
+    return arriving.run_to(arriving.arriving_categories(arriving.arriving_dump(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS count FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day with a watermark: the days that are closed."""
+    folder = scratch.place(spark)
+    table(spark, sf_dir, "events").select("event_id", "ts").write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{folder}/in")
+    return arriving.run_to(arriving.arrivals(rows, "ts"), f"{folder}/out", f"{folder}/state")
+
+
+def _sql_function(name: str, function: str, source: str, expected: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        U.register(spark)
+        return sourced(spark, sf_dir, "part", "p_partkey", f"{function}({source}) AS result")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT p_partkey, {expected} AS result FROM part"
+
+
+_sql_function("sql_expand", "wiki_expand", "concat('{{circa|', p_size, '}}')", "'c. ' || p_size")
+_sql_function("sql_evaluate", "wiki_evaluate", "concat('{{#expr:', p_size, '+1}}')", "(p_size + 1)::VARCHAR")
+_sql_function("sql_links", "wiki_links", "concat('[[a|', p_name, ']]')", "p_name")
+_sql_function("sql_clean", "wiki_clean", "concat(p_name, '   ', p_brand)", f"p_name || ' ' || p_brand || {NL} || {NL}")
+_sql_function("sql_plain", "wiki_plain", f"concat({Q3}, p_name, {Q3}, ' [[x|', p_brand, ']]')", "p_name || ' ' || p_brand")
+_sql_function("sql_entities", "wiki_entities", "concat(p_name, '&amp;', p_brand)", "p_name || '&' || p_brand")
+
+
 # the flagship
 
 

@@ -7,6 +7,8 @@ import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,6 +31,12 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     # pages are framed by their end tag, which also serves files of bare pages; what precedes the start tag is dropped
     reader = spark.read.option("lineSep", "</page>")
     raw = reader.option("pathGlobFilter", "*.xml*").text(path) if kind == "" else reader.text(path)
+    return framed_pages(raw)
+
+
+def framed_pages(raw: DataFrame) -> DataFrame:
+    """(title, page_id, text) of text in column `value` that was split behind each page, as a batch or a stream."""
+    raw = raw.select(F.make_valid_utf8("value").alias("value"))  # a byte that is no character doesn't lose the page
     framed = F.concat(F.lit("<page>"), F.substring_index("value", "<page>", -1), F.lit("</page>"))
     options = {"rowTag": "page", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "valueTag": "_VALUE"}
     page = raw.where(F.contains("value", F.lit("<page>"))).select(F.from_xml(framed, _SCHEMA, options).alias("page"))
@@ -65,31 +73,65 @@ def bz2_problem(head: Column, length: Column) -> Column:
     )
 
 
-def bz2_checked(spark: SparkSession, path: str, decompress: bool = True) -> DataFrame:
-    """(path, length, problem) of bzip2 files; with `decompress`, the first chunk is unpacked and must look like XML."""
-    raw = spark.read.format("binaryFile").load(path)
-    head = raw.select("path", "length", F.substring("content", 1, 1 << 20).alias("head")).withColumn("problem", bz2_problem(F.col("head"), F.col("length")))
-    if decompress:
-        @F.udf("string")
-        def unpacked(head: bytes) -> str | None:
-            try:
-                text = bz2.BZ2Decompressor().decompress(bytes(head), 4096)
-            except (OSError, EOFError, ValueError):
-                return "corrupt"
-            return None if not text or re.search(rb"<\?xml|<mediawiki|<page", text) else "not XML"
+def read_range(path: str, start: int, end: int | None) -> bytes:
+    """Bytes of a file on any file system that Arrow knows (local, hdfs, s3, gs ...), to its end if `end` is None."""
+    system, at = arrow_fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+]+:/", path) else (arrow_fs.LocalFileSystem(), path)
+    with system.open_input_file(at) as f:
+        return f.read_at((f.size() if end is None else min(end, f.size())) - start, start)
+
+
+def write_bytes(path: str, content: bytes) -> None:
+    """A small file, on any file system that Arrow knows."""
+    system, at = arrow_fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+]+:/", path) else (arrow_fs.LocalFileSystem(), path)
+    system.create_dir(str(PurePosixPath(at).parent))
+    with system.open_output_stream(at, compression=None) as f:
+        f.write(content)
+
+
+def _unpacked(head: bytes) -> str | None:
+    try:
+        text = bz2.BZ2Decompressor().decompress(head, 4096)
+    except (OSError, EOFError, ValueError):
+        return "corrupt"
+    return None if not text or re.search(rb"<\?xml|<mediawiki|<page", text) else "not XML"
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files that a path or pattern names, or that lie in the folder; empty ones too, which a scan would pass over."""
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    found = [y for x in fs.globStatus(at) or [] for y in (fs.listStatus(x.getPath()) if x.isDirectory() else [x])]
+    return [(x.getPath().toString(), x.getLen()) for x in found if x.isFile()]
+
 
-        head = head.withColumn("problem", F.when(F.col("problem").isNull(), unpacked("head")).otherwise(F.col("problem")))
-    return head.select("path", "length", "problem")
+def _heads(decompress: bool, size: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                head = read_range(path, 0, min(size, length))
+                said = _unpacked(head) if decompress and head else None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length]), pa.array([head[:14]], pa.binary()), pa.array([said], pa.string())], names=["path", "length", "head", "said"])
+
+    return f
+
+
+def bz2_checked(spark: SparkSession, path: str, decompress: bool = True, size: int = 1 << 20) -> DataFrame:
+    """(path, length, problem) of bzip2 files. Only the first `size` bytes of each are read, whatever its length; with
+    `decompress`, the first chunk is unpacked and must look like XML."""
+    listed = spark.createDataFrame(_listed(spark, path), "path string, length long")
+    head = listed.repartition(max(1, min(64, listed.count()))).mapInArrow(_heads(decompress, size), "path string, length long, head binary, said string")
+    return head.select("path", "length", F.coalesce(bz2_problem(F.col("head"), F.col("length")), "said").alias("problem"))
 
 
 # random access by streams
 
 
-class _Stream(InputPartition):
-    def __init__(self, start: int, end: int | None):
-        self.start, self.end = start, end
+class _Streams(InputPartition):
+    def __init__(self, ranges: list[tuple[int, int | None]]):
+        self.ranges = ranges
 
 
+_STREAM_ROW = "offset long, page_id long, title string, text string"
 _PAGE = re.compile(r"<page>(.*?)</page>", re.S)
 _FIELDS = {k: re.compile(p, re.S) for k, p in {"title": r"<title>(.*?)</title>", "page_id": r"<id>(\d+)</id>", "text": r"<text[^>]*?(?:/>|>(.*?)</text>)"}.items()}
 
@@ -98,51 +140,64 @@ def _decoded(x: str) -> str:
     return x.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&#039;", "'").replace("&amp;", "&")
 
 
+def stream_pages(path: str, start: int, end: int | None) -> Iterator[tuple]:
+    """(offset, page_id, title, text) of the pages in a stream of a multistream dump."""
+    text = bz2.decompress(read_range(path, start, end)).decode("utf-8", "ignore")
+    for m in _PAGE.finditer(text):
+        found = {k: p.search(m[1]) for k, p in _FIELDS.items()}
+        if found["title"]:
+            page = found["page_id"]
+            yield start, int(page[1]) if page else None, _decoded(found["title"][1]), _decoded((found["text"] and found["text"][1]) or "")
+
+
 class _StreamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.streams = options["path"], options["streams"]
+        self.path, self.streams, self.tasks = options["path"], options["streams"], int(options.get("tasks", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        ranges = (x.split("-") for x in self.streams.split(",") if x)
-        return [_Stream(int(a), int(z) if z else None) for a, z in ranges]
-
-    def read(self, part: _Stream) -> Iterator[tuple]:
-        if part is None:
-            return
-        with open(self.path.removeprefix("file:"), "rb") as f:
-            f.seek(part.start)
-            raw = f.read() if part.end is None else f.read(part.end - part.start)
-        text = bz2.decompress(raw).decode("utf-8", "ignore")
-        for m in _PAGE.finditer(text):
-            found = {k: p.search(m[1]) for k, p in _FIELDS.items()}
-            if found["title"]:
-                page = found["page_id"]
-                yield part.start, int(page[1]) if page else None, _decoded(found["title"][1]), _decoded((found["text"] and found["text"][1]) or "")
+        """Neighbouring streams share a task, so that there are `tasks` of them at most."""
+        parts = (x.split("-") for x in self.streams.split(",") if x)
+        ranges = sorted((int(a), int(z) if z else None) for a, z in parts)
+        size = max(1, -(-len(ranges) // self.tasks))
+        return [_Streams(ranges[k : k + size]) for k in range(0, len(ranges), size)]
+
+    def read(self, part: _Streams) -> Iterator[tuple]:
+        for start, end in part.ranges if part else ():
+            yield from stream_pages(self.path, start, end)
 
 
 class StreamSource(DataSource):
-    """format("wikistreams"): one partition for each byte range of `streams` ("0-100,100-") of a multistream dump."""
+    """format("wikistreams"): the byte ranges `streams` ("0-100,100-") of a multistream dump, in `tasks` tasks at most."""
 
     @classmethod
     def name(cls) -> str:
         return "wikistreams"
 
     def schema(self) -> str:
-        return "offset long, page_id long, title string, text string"
+        return _STREAM_ROW
 
     def reader(self, schema) -> DataSourceReader:
         return _StreamReader(self.options)
 
 
+def in_streams(ranges: DataFrame, dump: str) -> DataFrame:
+    """Pages of the streams in ranges (offset, next_offset). The ranges stay distributed, in tasks of neighbours."""
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in zip(batch.column("offset").to_pylist(), batch.column("next_offset").to_pylist(), strict=True):
+                if rows := list(stream_pages(dump, start, end)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["offset", "page_id", "title", "text"])
+
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.select("offset", "next_offset").repartitionByRange(parts, "offset").mapInArrow(f, _STREAM_ROW)
+
+
 def articles(spark: SparkSession, dump: str, index_: DataFrame, titles: DataFrame) -> DataFrame:
     """The pages of the titles asked for: their streams are found by joins, and only those are read."""
     from textloom.operators.relations import stream_ranges, streams_needed
 
-    spark.dataSource.register(StreamSource)
-    needed = stream_ranges(index_).join(streams_needed(index_, titles), "offset", "left_semi").orderBy("offset").collect()
-    ranges = ",".join(f"{r['offset']}-{'' if r['next_offset'] is None else r['next_offset']}" for r in needed)
-    found = spark.read.format("wikistreams").option("streams", ranges).load(dump)
-    return found.join(titles.select("title").distinct(), "title", "left_semi")
+    needed = stream_ranges(index_).join(streams_needed(index_, titles), "offset", "left_semi")
+    return in_streams(needed, dump).join(titles.select("title").distinct(), "title", "left_semi")
 
 
 # sinks
