@@ -70,6 +70,34 @@ def test_near(docs, corpus, least):
     assert got == near_expected(corpus, least) and len(got) > 4
 
 
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_near_classes(docs, corpus, nothing, tile, monkeypatch):
+    """One row for each document, with the class and the number of links that all pairs give; by tiles too."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    sets = {(r[0], grams(r[1])) for r in corpus if r[0] is not None}
+    linked = lambda x, y: x and y and len(x & y) / len(x | y) >= 0.4 - 1e-12
+    group = {s: s for s in sets}
+
+    def top(s):
+        while group[s] != s:
+            s = group[s]
+        return s
+
+    links = defaultdict(int)
+    for s in sets:
+        for t in sets:
+            if s != t and linked(s[1], t[1]):
+                links[s] += 1
+                group[top(s)] = top(t)
+    least = {}
+    for s in sets:
+        least[top(s)] = min(s[0], least.get(top(s), s[0]))
+    got = listed(ngram_join.similar_classes(docs))
+    assert got == sorted(((s[0], least[top(s)], links[s]) for s in sets), key=str) and sum(links.values()) > 20
+    assert listed(ngram_join.similar_pairs(docs)) == near_expected(corpus, 0.4)
+    assert ngram_join.similar_classes(nothing).collect() == []
+
+
 def test_near_kept(docs, corpus, nothing):
     kept = ngram_join.without_similar(docs)
     assert kept.columns == docs.columns
@@ -161,3 +189,30 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_merged_runs():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sides = []
+        for _ in range(2):
+            d = np.unique(rng.integers(0, 30, rng.integers(0, 20))).astype(f"S{exact_dedup._WIDTH}")
+            d.sort()
+            sides.append((d, rng.integers(0, 100, len(d))))
+        (digest, ids), lost = exact_dedup.merged(*sides)
+        known = defaultdict(list)
+        for d, i in zip(*(np.concatenate(x) for x in zip(*sides, strict=True)), strict=True):
+            known[d].append(i)
+        assert digest.tolist() == sorted(known) and ids.tolist() == [min(known[d]) for d in sorted(known)]
+        assert sorted(zip(*lost, strict=True)) == sorted((d, max(v)) for d, v in known.items() if len(v) > 1)
+
+
+def test_kept_with_odd_columns(spark):
+    """Columns with dots and the names that the operators use themselves come through."""
+    rows = [(1, "a b c d e f g", 1, 2, 3, 4, 5), (2, "a b c d e f g", 1, 2, 3, 4, 5), (3, "one more text", 1, 2, 3, 4, 5), (4, None, 1, 2, 3, 4, 5), (5, "", 1, 2, 3, 4, 5), (None, "", 1, 2, 3, 4, 5)]
+    names = ["doc_id", "text", "a.b", "_gone_", "_same_", "digest", "_row_"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(names, ["long", "string", *["int"] * 5], strict=True)))
+    for f in (exact_dedup.without_copies, ngram_join.without_similar):
+        out = f(df)
+        assert out.columns == names
+        assert sorted(str(r[0]) for r in out.collect()) == ["1", "3", "4", "5", "None"]

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -203,5 +204,23 @@ def test_top_k(spark, n, block):
     assert sum(g == e for g, e in zip(got, sorted(expected), strict=True)) >= 0.99 * len(got)
 
 
+def test_top_k_of_some_queries(spark):
+    """Of the stated queries alone, the same neighbours; crowded cells, and columns with the operator's own names."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 6)), np.ones((150, 6))]).astype(np.float32)
+    rows = [(7 * i, x[i].tolist(), 1, 2, 3, 4) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int, cuts int, ids int, `v.x` int")
+    got = defaultdict(list)
+    for r in topk.top_k(df, k=4, pivots=5, block=32, every=100).collect():
+        got[r["vec_id"]].append((r["rank"], r["neighbour_id"], round(r["distance"], 9)))
+    e = x.astype(np.float64)
+    d = np.sqrt(((e[:, None] - e[None]) ** 2).sum(axis=2))
+    assert sorted(got) == [7 * i for i in range(len(x)) if 7 * i % 100 == 0]
+    for q, near in got.items():
+        i = q // 7
+        expected = sorted((round(d[i, j], 9), 7 * j) for j in range(len(x)) if j != i)[:4]
+        assert sorted(near) == [(k + 1, j, s) for k, (s, j) in enumerate(expected)]
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
+from textloom.llm._lean import lean
 from textloom.llm._tables import components, partitions, sieve, written
 
 LEAF = 48
-_SPLIT = 1 << 22
+TILE = 2048  # members of a region that one task takes; of a larger one, each pair of tiles is a task
+_SPLIT = 1 << 21
 _INDEX = "bucket int, x binary, counts binary, keys binary, doc_id binary, y binary"
 _FOUND = "kind int, a long, b long, y long, n int"
 
@@ -59,10 +61,10 @@ def gram_sets(w: tx.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _index(size: int, buckets: int):
     def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         ids, x, y, n, g = (np.concatenate(c) for c in zip(*parts, strict=True))
-        at, owner = (g % np.uint64(buckets)).astype(np.int64), np.repeat(np.arange(len(n)), n)
+        at, owner = (g % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
         order = np.argsort(at, kind="stable")
         at, owner, keys = at[order], owner[order], (g[order] >> np.uint64(24)).astype(np.uint32)
-        home = (x % np.uint64(buckets)).astype(np.int64)
+        home = (np.where(n > 0, x, tx.mix(ids.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
         out: list[list] = [[] for _ in range(6)]
         cut, mine = np.searchsorted(at, np.arange(buckets + 1)), np.argsort(home, kind="stable")
         cuts = np.searchsorted(home[mine], np.arange(buckets + 1))
@@ -84,8 +86,8 @@ def _index(size: int, buckets: int):
             for piece in tx.pieces(batch, "text"):
                 g, first, x, y = gram_sets(tx.scan(piece.column("text")), size)
                 n = np.diff(first)
-                some = n > 0
-                parts.append((piece.column("doc_id").to_numpy()[some], x[some], y[some], n[some], g))
+                ids = piece.column("doc_id").to_numpy()
+                parts.append((ids, x, y, n, g))
                 held += len(g)
                 if held > _SPLIT:
                     yield rows(parts)
@@ -117,9 +119,8 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((x, keys))
         keys, x = keys[order], x[order]
         first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-        again = np.append(False, (keys[1:] == keys[:-1]) & (x[1:] == x[:-1]))[: len(keys)]
         owner = x[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
-        other = ~again & (owner != x)
+        other = owner != x
         a, b = x[other], owner[other]
         if not len(a):
             continue
@@ -149,20 +150,22 @@ def _overlaps(sets: list[np.ndarray], of: list[int], with_: list[int]) -> np.nda
     return out
 
 
-def metric_join(sets: list[np.ndarray], least: float) -> dict[tuple[int, int], float]:
-    """All pairs i < j of sets with a Jaccard similarity of `least` or more, recursively."""
+def _close(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of all pairs i < j of sets with a Jaccard similarity of `least` or more, recursively."""
     size = np.array([len(s) for s in sets], np.float64)
-    found: dict[tuple[int, int], float] = {}
+    found: list[tuple[np.ndarray, ...]] = []
     radius = 1 - least
 
     def brute(at: list[int], cols: list[int]) -> None:
+        left, right = np.array(at), np.array(cols)
         for k in range(0, len(at), 256):
             rows = at[k : k + 256]
             both = _overlaps(sets, rows, cols).astype(np.float64)
             j = both / (size[rows][:, None] + size[cols][None] - both)
-            for a, b in zip(*np.nonzero(j >= least - 1e-12), strict=True):
-                if rows[a] < cols[b]:
-                    found[rows[a], cols[b]] = float(j[a, b])
+            a, b = np.nonzero(j >= least - 1e-12)
+            ordered = left[k + a] < right[b]
+            a, b = a[ordered], b[ordered]
+            found.append((left[k + a], right[b], j[a, b]))
 
     def join(at: list[int]) -> None:
         if len(at) <= LEAF:
@@ -188,101 +191,182 @@ def metric_join(sets: list[np.ndarray], least: float) -> dict[tuple[int, int], f
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         j = both / (size[0] + size[1] - both)
-        return {(0, 1): float(j)} if j >= least - 1e-12 else {}
+        hit = np.arange(1 if j >= least - 1e-12 else 0)
+        return hit, hit + 1, np.full(len(hit), j)
     join(list(range(len(sets))))
-    return found
+    i, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
+    _, first = np.unique(i * len(sets) + j, return_index=True)
+    return i[first], j[first], s[first]
+
+
+def metric_join(sets: list[np.ndarray], least: float) -> dict[tuple[int, int], float]:
+    """All pairs i < j of sets with a Jaccard similarity of `least` or more."""
+    i, j, s = _close(sets, least)
+    return dict(zip(zip(i.tolist(), j.tolist(), strict=True), s.tolist(), strict=True))
+
+
+def _apart(before: list[list[int]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the lists of i and of j have nothing in common."""
+    known = {p: k for k, p in enumerate(sorted({p for b in before for p in b}))}
+    out = np.ones(len(i), bool)
+    for word in range(0, len(known), 63):
+        mask = np.array([sum(1 << known[p] - word for p in b if 0 <= known[p] - word < 63) for b in before], np.int64)
+        out &= mask[i] & mask[j] == 0
+    return out
 
 
-def _regions(size: int, least: float):
-    """Rows come sorted by region."""
+def _least(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least member of each one's connected component."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[i], top[j])
+        now = top.copy()
+        np.minimum.at(now, top[i], low)
+        np.minimum.at(now, top[j], low)
+        now = now[now]
+        if (now == top).all():
+            return top
+        top = now
+
+
+def _regions(size: int, least: float, pairs: bool):
+    """Rows come sorted by region and tiles. A pair counts in the first region that both are in, where their tiles
+    meet. With `pairs`, rows are pairs (a, b, similarity); else each point's number of documents that it is linked
+    to (a, null, n), and edges (a, b, null) that connect what the pairs connect."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, {}
 
-        def done() -> list[tuple[int, int, float]]:
+        def done() -> Iterator[pa.RecordBatch]:
             keys = sorted(members)
             if len(keys) < 2:
-                return []
-            pairs = metric_join([members[k][1] for k in keys], least)
-            return [(*sorted((members[keys[i]][0], members[keys[j]][0])), s) for (i, j), s in pairs.items()]
-
-        def batch_of(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
-            a, b, s = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["doc_a", "doc_b", "jaccard"])
+                return
+            doc_id, sets, tile, times, before = zip(*(members[k] for k in keys), strict=True)
+            i, j, s = _close(list(sets), least)
+            tile, times, keys = np.array(tile), np.array(times), np.array(keys, np.int64)
+            here = (np.minimum(tile[i], tile[j]) == now[1]) & (np.maximum(tile[i], tile[j]) == now[2])
+            i, j, s = i[here], j[here], s[here]
+            own = _apart(list(before), i, j)
+            i, j, s = i[own], j[own], s[own]
+            if pairs:
+                a, b = np.array(doc_id)[i], np.array(doc_id)[j]
+                out = [np.minimum(a, b), np.maximum(a, b), s]
+            else:
+                links = np.bincount(i, weights=times[j], minlength=len(keys)) + np.bincount(j, weights=times[i], minlength=len(keys))
+                top, some = _least(i, j, len(keys)), np.flatnonzero(links)
+                away = np.flatnonzero(top != np.arange(len(keys)))
+                out = [np.append(keys[some], keys[away]), np.append(keys[some], keys[top[away]]), np.append(links[some], np.full(len(away), -1.0))]
+            for a in range(0, len(out[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in out], names=["a", "b", "v"])
 
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
             for piece in tx.pieces(batch, "text"):
                 g, first, x, _ = gram_sets(tx.scan(piece.column("text")), size)
-                ids, want, region = (piece.column(c).to_numpy() for c in ("doc_id", "x", "p"))
-                right = tx.signed(x) == want
+                ids, want, region, low, high, tile, times = (piece.column(c).to_numpy() for c in ("doc_id", "x", "p", "t", "u", "tile", "times"))
+                right, before = tx.signed(x) == want, piece.column("before").to_pylist()
                 for i in range(piece.num_rows):
-                    if region[i] != now:
-                        out += done()
-                        now, members = region[i], {}
+                    at = (region[i], low[i], high[i])
+                    if at != now:
+                        yield from done()
+                        now, members = at, {}
                     if right[i]:
-                        members[int(want[i])] = (int(ids[i]), g[first[i] : first[i + 1]])
-            if out:
-                yield batch_of(out)
-        if out := done():
-            yield batch_of(out)
+                        members[int(want[i])] = (int(ids[i]), g[first[i] : first[i + 1]], int(tile[i]), int(times[i]), before[i])
+        yield from done()
 
     return f
 
 
-def similar_pairs(docs: DataFrame, size: int = 5, least: float = 0.4) -> DataFrame:
-    """(doc_a, doc_b, jaccard): the exact join of documents whose sets of `size`-word n-grams have a Jaccard
-    similarity of `least` or more.
-
-    Documents of the same set stand for one another: the smallest doc_id of each set is joined with those of
-    other sets (doc_a < doc_b), and with each further document of its own set at similarity 1. Words are those of
-    _text; a text of fewer words than `size` is one n-gram.
-
-    Null, empty and wordless texts have no n-grams and no partner. A null doc_id takes no part. Repeated rows
-    count once; rows that share a doc_id and differ in text are separate documents. Ties don't arise: all pairs
-    are reported, without caps. No documents: no rows. Other columns are ignored, whatever their names.
-    """
+def _joined(docs: DataFrame, size: int, least: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their sets' digest x, y and size n; points with their least doc_id and number of documents
+    `times`; what _regions finds)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     parts = partitions(spark)
-    index = rows.mapInArrow(_index(size, parts), _INDEX).repartitionById(parts, F.col("bucket"))
-    found = written(index.mapInArrow(_owners, _FOUND))
+    index = rows.mapInArrow(lean(_index(size, parts)), _INDEX).repartitionById(parts, F.col("bucket"))
+    found = written(index.mapInArrow(lean(_owners), _FOUND))
     known = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("x"), "y", "n").distinct()
-    points = known.groupBy("x", "y", "n").agg(F.min("doc_id").alias("doc_id"))
+    points = known.where("n > 0").groupBy("x", "y", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
     edges = written(found.where("kind = 1").groupBy(F.col("a").alias("x"), F.col("b").alias("p")).agg(F.sum("n").alias("w")))
     own = edges.groupBy("x").agg(F.sum("w").alias("w")).union(edges.select(F.col("p").alias("x"), F.lit(0).cast("long"))).groupBy("x").agg(F.sum("w").alias("w"))
-    own = own.join(points.select("x", "n", "doc_id"), "x")
-    shares = edges.join(own.select("x", "n", "doc_id"), "x").select("x", "p", "w", "n", "doc_id")
-    shares = shares.union(own.select("x", F.col("x").alias("p"), F.col("n") - F.col("w"), "n", "doc_id"))
+    own = own.join(points.select("x", "n", "doc_id", "times"), "x")
+    shares = edges.join(own.drop("w"), "x").select("x", "p", "w", "n", "doc_id", "times")
+    shares = shares.union(own.select("x", F.col("x").alias("p"), F.col("n") - F.col("w"), "n", "doc_id", "times"))
     # Regions that hold most of a member's n-grams come first, by the mean share of the members weighted by shares;
     # passages that many share, and n-grams met by chance, come last. Integers, so that every task ranks alike. Shares
     # of regions that nobody else is in can't be in common, so they count as spent; so does what a share has above the
     # second largest of its region, as no other member has it.
-    region = Window.partitionBy("p")
     part = F.when(F.col("x") == F.col("p"), 0).otherwise(F.floor(F.col("w") * 1000000 / F.col("n"))).cast("long")
-    falling = region.orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sized = shares.withColumn("second", F.nth_value("w", 2).over(falling)).where("second > 0").withColumn("part", part).withColumn("w", F.least("w", "second"))
-    ranked = sized.withColumn("rank", F.expr("sum(part * part) OVER (PARTITION BY p) div greatest(1L, sum(part) OVER (PARTITION BY p))")).drop("part")
+    sized = shares.withColumn("part", part)
+    region = sized.groupBy("p").agg(F.max("w").alias("m"), F.sum(F.col("part") * F.col("part")).alias("s2"), F.sum("part").alias("s1"), F.count(F.lit(1)).alias("k"))
+    rest = shares.join(region.where("k > 1").select("p", "m", F.expr("s2 div greatest(1L, s1)").alias("rank")), "p")
+    second = rest.groupBy("p").agg(F.when(F.count_if(F.col("w") == F.col("m")) > 1, F.max("m")).otherwise(F.max(F.when(F.col("w") < F.col("m"), F.col("w")))).alias("second"))
+    ranked = rest.join(second.where("second > 0"), "p").withColumn("w", F.least("w", "second")).drop("second", "m")
     order = Window.partitionBy("x").orderBy("rank", "p")
     suffix = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = ranked.withColumn("left", suffix).where(F.col("left") >= F.ceil(F.lit(least) * F.col("n") - 1e-9))
-    members = inside.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("p"))).where("k > 1").select("doc_id", "x", "p")
-    members = written(members)
+    inside = written(ranked.withColumn("left", suffix).where(F.col("left") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("doc_id", "x", "p", "rank", "times"))
+    crowd = inside.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("p", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
+    members = inside.join(crowd, "p").withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))
+    members = members.withColumn("before", F.collect_list("p").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    members = written(members.select("doc_id", "x", "p", "tile", "times", "before", F.least("tile", "o").alias("t"), F.greatest("tile", "o").alias("u")))
     maybe = sieve(members.select("doc_id"))
     placed = rows.where(maybe("doc_id")).join(members.hint("shuffle_hash"), "doc_id")
-    joined = placed.repartition(parts, "p").sortWithinPartitions("p", "x").mapInArrow(_regions(size, least), "doc_a long, doc_b long, jaccard double")
+    kinds = "a long, b long, v double"
+    return known, points, placed.repartition(parts, "p", "t", "u").sortWithinPartitions("p", "t", "u", "x").mapInArrow(lean(_regions(size, least, pairs)), kinds)
+
+
+def similar_pairs(docs: DataFrame, size: int = 5, least: float = 0.4) -> DataFrame:
+    """(doc_a, doc_b, jaccard): the exact join of documents whose sets of `size`-word n-grams have a Jaccard
+    similarity of `least` or more.
+
+    Documents of the same set stand for one another: the smallest doc_id of each set is joined with those of
+    other sets (doc_a < doc_b), and with each further document of its own set at similarity 1. Words are those of
+    _text; a text of fewer words than `size` is one n-gram.
+
+    Null, empty and wordless texts have no n-grams and no partner. A null doc_id takes no part. Repeated rows
+    count once; rows that share a doc_id and differ in text are separate documents. Very long texts count whole. Ties
+    don't arise: all pairs are reported, without caps. No documents: no rows. Other columns are ignored, whatever
+    their names.
+    """
+    known, points, found = _joined(docs, size, least, True)
+    joined = found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("v").alias("jaccard"))
     copies = known.join(points.withColumnRenamed("doc_id", "doc_a"), ["x", "y", "n"]).where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return joined.dropDuplicates(["doc_a", "doc_b"]).union(copies)
+    return joined.union(copies)
+
+
+def similar_classes(docs: DataFrame, size: int = 5, least: float = 0.4) -> DataFrame:
+    """(doc_id, class_id, n_links) for every document: the exact join of similar_pairs(), without its pairs.
+
+    Documents whose sets of `size`-word n-grams have a Jaccard similarity of `least` or more are linked; n_links
+    counts all other documents that a document is linked to, those of the same set included. class_id is the
+    smallest doc_id of those that links connect.
+
+    Null, empty and wordless texts, and documents without a link, are classes of their own with 0 links. A null
+    doc_id takes no part. Repeated rows count once, so do rows of the same doc_id and set; rows that share a doc_id
+    and have different sets are separate documents. Very long texts count whole. Ties don't arise. No documents: no
+    rows. Other columns are ignored, whatever their names.
+    """
+    known, points, found = _joined(docs, size, least, False)
+    found = written(found)
+    links = found.where("v > 0").groupBy(F.col("a").alias("x")).agg(F.sum("v").cast("long").alias("links"))
+    groups = components(found.where("v < 0")).withColumnRenamed("node", "x")
+    firsts = groups.join(points.select("x", "doc_id"), "x").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    of = points.select("x", "y", "n", F.col("doc_id").alias("first"), "times").join(links, "x", "left").join(groups, "x", "left").join(firsts, "component", "left")
+    of = of.select("x", "y", "n", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    alone = known.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return known.where("n > 0").join(of, ["x", "y", "n"]).select("doc_id", "class_id", "n_links").union(alone)
 
 
 def without_similar(docs: DataFrame, size: int = 5, least: float = 0.4) -> DataFrame:
-    """docs without the documents that are linked, through pairs of similar_pairs(), to one of smaller doc_id; all
-    columns. Rows that share the doc_id which stays are that document, and all stay, as do rows of null doc_id."""
-    groups = written(components(similar_pairs(docs, size, least).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))))
-    gone = groups.where("node <> component").select(F.col("node").alias("_gone_")).distinct()
-    maybe = sieve(gone.select(F.col("_gone_").alias("doc_id")))
-    held = docs.withColumn("_maybe_" + "_".join(docs.columns), F.coalesce(maybe(F.col("doc_id").cast("long")), F.lit(False)))
-    flag = held.columns[-1]
-    sure = held.where(~F.col(f"`{flag}`")).drop(flag)
-    left = held.where(F.col(f"`{flag}`")).drop(flag)
-    return sure.union(left.join(gone, F.col("doc_id").cast("long") == F.col("_gone_"), "left_anti"))
+    """docs without the documents that are linked, as similar_classes() links them, to one of smaller doc_id; all
+    columns. Rows that share the doc_id which stays are that document, and all stay, as do rows of null doc_id, and
+    of null, empty and wordless texts. No documents: no rows. Other columns come along, whatever their names."""
+    known, points, found = _joined(docs, size, least, False)
+    edges = written(found.where("v < 0"))
+    first = points.select("x", "y", "n", F.col("doc_id").alias("to"))
+    ends = edges.join(first.select(F.col("x").alias("a"), F.col("to").alias("u")), "a").join(first.select(F.col("x").alias("b"), F.col("to").alias("v_")), "b").select(F.col("u").alias("a"), F.col("v_").alias("b"))
+    ends = ends.union(known.join(first, ["x", "y", "n"]).where("doc_id > to").select(F.col("doc_id").alias("a"), F.col("to").alias("b")))
+    gone = written(components(ends).where("node <> component").select(F.col("node").alias("_gone_")).distinct())
+    maybe = F.coalesce(sieve(gone.select(F.col("_gone_").alias("doc_id")))(F.col("doc_id").cast("long")), F.lit(False))
+    held = docs.where(maybe).select(F.struct("*").alias("_row_"), F.col("doc_id").cast("long").alias("_id_"))
+    return docs.where(~maybe).union(held.join(gone, F.col("_id_") == F.col("_gone_"), "left_anti").select("_row_.*"))

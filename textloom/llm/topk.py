@@ -1,9 +1,12 @@
 """Exact nearest neighbours by pivot-table elimination.
 
-Distances from every vector to a fixed number of pivots are computed once. For a query and a candidate, the
-largest difference of their distances to a pivot is a lower bound of the distance between them; candidates are
-evaluated in the order of that bound until it exceeds the k-th best distance found. Vectors lie in blocks of near
-ones, whose ranges of pivot distances rule out whole blocks in the same way before anything is sent there.
+Distances from every vector to a fixed number of pivots are computed once and stored beside the vectors, in blocks of
+near ones. For a query and a candidate, the largest difference of their distances to a pivot is a lower bound of the
+distance between them; each query goes through a block's candidates in the order of its own bounds until the bound
+exceeds its k-th best distance. Ranges of pivot distances rule out whole blocks in the same way.
+
+The queries are a stated part of the vectors. They are laid out in groups, the blocks in tiles, and each task takes
+a group through the blocks of a tile, so a block is read once for a whole group.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from pyspark.sql import types as T
 
 from textloom.llm._tables import partitions, written
 
-_BLOCK = "block int, ids binary, vectors binary, radius binary, reach double, low array<double>, high array<double>"
-_NEAR = "vec_id long, rank int, neighbour_id long, distance double"
-Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+_BLOCK = "block long, ids binary, vectors binary, pivots binary, low array<double>, high array<double>, asks binary, bound binary"
+_PART = "kind int, block long, ids binary, vectors binary, pivots binary, low array<double>, high array<double>, bound binary"
+_NEAR = "vec_id long, neighbour_id long, distance double"
+_GROUP = 1 << 16  # queries that one task holds
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,64 +33,46 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.sqrt(((x[a : a + 128, None] - pivots[None]) ** 2).sum(axis=2)) for a in range(0, len(x), 128)] or [np.zeros((0, len(pivots)))])
-
-
-def nearest(q_ids: np.ndarray, q: np.ndarray, q_table: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int, step: int = 256) -> Found:
-    """(query's row, candidate's row, distance): for every query its k nearest candidates within its bound, and
-    more that tie by rounding. A query isn't its own candidate.
-
-    256 queries at a time go through the candidates in the order of their lower bounds, `step` by `step`, by matrix
-    product; a query leaves once all bounds left exceed its k-th best. What comes out has exact distances."""
-    rows, cols, dist = [], [], []
-    t, scale = np.ascontiguousarray(table.T, np.float32), 1 + max(float(np.abs(table).max(initial=0)), float(np.abs(q_table).max(initial=0)))
-    for a in range(0, len(q), 256):
-        z = slice(a, min(a + 256, len(q)))
-        low, part = np.zeros((z.stop - a, len(x)), np.float32), np.empty((z.stop - a, len(x)), np.float32)
-        for p in range(len(t)):
-            np.subtract(q_table[z, p, None].astype(np.float32), t[p][None], out=part)
-            np.maximum(low, np.abs(part, out=part), out=low)
-        order = np.argsort(low.min(axis=0), kind="stable")
-        cuts = np.arange(0, len(x), step)
-        left = np.minimum.accumulate(np.minimum.reduceat(low[:, order], cuts, axis=1)[:, ::-1], axis=1)[:, ::-1] - 1e-5 * scale
-        d, worst = np.full(low.shape, np.inf), bound[z].astype(np.float64)
-        for c, at in enumerate(cuts):
-            on = np.flatnonzero(left[:, c] <= worst)
-            if not len(on):
-                break
-            o = order[at : at + step]
-            here = squares(q[z][on], x[o])
-            here[q_ids[z][on][:, None] == ids[o][None]] = np.inf
-            d[on[:, None], o] = here
-            if min(at + step, len(x)) >= k:
-                done = d[on[:, None], order[: at + step]]
-                worst[on] = np.minimum(worst[on], np.sqrt(np.partition(done, k - 1, axis=1)[:, k - 1]) + 1e-6 * scale)
-        r, c = np.nonzero(np.isfinite(d) & (d <= ((worst + 1e-6 * scale) ** 2)[:, None]))
-        rows.append(a + r)
-        cols.append(c)
-        dist.append(np.sqrt(((q[a + r] - x[c]) ** 2).sum(axis=1)))
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
-
-
-def best_of(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, distance, rank from 1) of the k least of each row, ties by smaller id; each id once."""
-    order = np.lexsort((ids, dist, rows))
-    rows, ids, dist = rows[order], ids[order], dist[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
-    rows, ids, dist = rows[new], ids[new], dist[new]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-    keep = rank <= k
-    return rows[keep], ids[keep], dist[keep], rank[keep]
-
-
-def _radius(n: int, rows: np.ndarray, dist: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    out = np.full(n, np.inf)
-    out[rows[rank == k]] = dist[rank == k]
-    return out
+    """(pivots, vectors): distances to the pivots."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots]) if len(x) else np.zeros((len(pivots), 0))
+
+
+class Best:
+    """The k nearest candidates of a query so far, by (distance, id), and the distance beyond which none is sought."""
+
+    def __init__(self, k: int, bound: float = np.inf):
+        self.k, self.bound = k, bound
+        self.ids, self.dist = np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, dist: np.ndarray) -> None:
+        near = dist <= self.bound
+        ids, dist = np.append(self.ids, ids[near]), np.append(self.dist, dist[near])
+        order = np.lexsort((ids, dist))[: self.k]
+        self.ids, self.dist = ids[order], dist[order]
+        if len(self.ids) == self.k:
+            self.bound = min(self.bound, float(self.dist[-1]))
+
+
+def _slack(*tables: np.ndarray) -> float:
+    """What a difference of distances in single precision may be off by."""
+    return 1e-6 * max(float(np.abs(t).max(initial=0)) for t in tables)
+
+
+def search(best: Best, me: int, q: np.ndarray, q_pivots: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, step: int = 64) -> int:
+    """Takes candidates into `best` in the order of their lower bounds, until the bound of the next one exceeds the
+    k-th best distance; returns how many distances were computed. `me` isn't its own candidate."""
+    low = np.zeros(len(ids), np.float32)
+    for t, p in zip(table, q_pivots, strict=True):
+        np.maximum(low, np.abs(t - np.float32(p)), out=low)
+    low -= _slack(table, q_pivots)
+    order = np.flatnonzero((low <= best.bound) & (ids != me))
+    order = order[np.argsort(low[order], kind="stable")]
+    low, at = low[order], 0
+    while at < len(order) and low[at] <= best.bound:
+        some = order[at : at + step]
+        best.add(ids[some], np.sqrt(((x[some].astype(np.float64) - q) ** 2).sum(axis=1)))
+        at, step = at + len(some), step * 2
+    return at
 
 
 def _cells(centres: np.ndarray):
@@ -98,56 +84,75 @@ def _cells(centres: np.ndarray):
     return of
 
 
-def _pack(pivots: np.ndarray, k: int, kind: str):
+def _pack(pivots: np.ndarray, k: int, every: int, kind: str):
+    """A block with its pivot table; asks are the rows that are queries, bound their k-th distance in the block."""
+
     def f(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
         x = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        table = pivot_table(x, pivots)
-        r, c, d = nearest(ids, x, table, np.full(len(x), np.inf), ids, x, table, k)
-        r, _, d, rank = best_of(r, ids[c], d, k)
-        radius = _radius(len(x), r, d, rank, k)
+        exact = pivot_table(x, pivots)
+        table, asks = exact.astype(np.float32), np.flatnonzero(ids % every == 0)
+        bound = np.empty(len(asks))
+        for i, a in enumerate(asks):
+            best = Best(k)
+            search(best, int(ids[a]), x[a], exact[:, a], ids, x, table)
+            bound[i] = best.bound
+        one = lambda v: pa.array([v.tobytes()], pa.binary())
         return pa.table({
-            "block": pa.array([t.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.astype(kind).tobytes()], pa.binary()),
-            "radius": pa.array([radius.tobytes()], pa.binary()), "reach": pa.array([float(radius.max())]), "low": pa.array([table.min(axis=0).tolist()]), "high": pa.array([table.max(axis=0).tolist()]),
+            "block": pa.array([t.column("block")[0].as_py()], pa.int64()), "ids": one(ids), "vectors": one(x.astype(kind)), "pivots": one(table),
+            "low": pa.array([exact.min(axis=1).tolist()]), "high": pa.array([exact.max(axis=1).tolist()]), "asks": one(asks), "bound": one(bound),
         })
 
     return f
 
 
-def _meet(pivots: np.ndarray, k: int, kind: str):
-    """Rows come sorted by block of queries and by gap: first the block itself, then those that it may reach."""
+def _read(r: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(r["ids"], np.int64)
+    return ids, np.frombuffer(r["vectors"], kind).reshape(len(ids), -1), np.frombuffer(r["pivots"], np.float32).reshape(-1, len(ids))
+
+
+def _asked(kind: str):
+    """The queries of each block."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                asks = np.frombuffer(r["asks"], np.int64)
+                if len(asks):
+                    ids, x, table = _read(r, kind)
+                    cells = (0, r["block"], ids[asks].tobytes(), x[asks].tobytes(), table[:, asks].tobytes(), [], [], r["bound"])
+                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.float64())] * 2, pa.binary())
+                    names = [c.split(" ")[0] for c in _PART.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=names)
+
+    return f
 
-    def read(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.frombuffer(r["ids"], np.int64)
-        x = np.frombuffer(r["vectors"], kind).astype(np.float64).reshape(len(ids), -1)
-        return ids, x, pivot_table(x, pivots)
 
-    def out(q_ids: np.ndarray, best: tuple) -> pa.RecordBatch:
-        rows, ids, dist, rank = best
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(dist)], names=["vec_id", "rank", "neighbour_id", "distance"])
+def _searched(k: int, kind: str):
+    """Rows of a task come sorted: first its queries, then its blocks."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, q, best = None, (), ()
+        parts, best = [], []
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                ids, x, table = read(r)
-                if r["block"] != now:
-                    if now is not None:
-                        yield out(q[0], best)
-                    now, q = r["block"], (ids, x, table)
-                    bound, best = np.frombuffer(r["radius"]).copy(), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-                gap = np.maximum(np.maximum(table.min(axis=0) - q[2], q[2] - table.max(axis=0)), 0).max(axis=1)
-                on = np.flatnonzero(gap <= bound + 1e-9)
-                if not len(on):
+                if r["kind"] == 0:
+                    parts.append((*_read(r, kind), np.frombuffer(r["bound"])))
                     continue
-                a, b, d = nearest(q[0][on], q[1][on], q[2][on], bound[on], ids, x, table, k)
-                best = best_of(np.append(best[0], on[a]), np.append(best[1], ids[b]), np.append(best[2], d), k)
-                bound = np.minimum(bound, _radius(len(bound), best[0], best[2], best[3], k))
-        if now is not None:
-            yield out(q[0], best)
+                if not parts:
+                    return
+                if not best:
+                    q_ids, q, bound = (np.concatenate([p[c] for p in parts]) for c in (0, 1, 3))
+                    q, q_table = q.astype(np.float64), np.concatenate([p[2] for p in parts], axis=1)
+                    best = [Best(k, b) for b in bound]
+                ids, x, table = _read(r, kind)
+                low, high = np.array(r["low"])[:, None], np.array(r["high"])[:, None]
+                gap = np.maximum(np.maximum(low - q_table, q_table - high), 0).max(axis=0)
+                for j in np.flatnonzero(gap - _slack(table, q_table) <= np.array([b.bound for b in best])):
+                    search(best[j], int(q_ids[j]), q[j], q_table[:, j], ids, x, table)
+        if best:
+            n = [len(b.ids) for b in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([b.ids for b in best])), pa.array(np.concatenate([b.dist for b in best]))], names=["vec_id", "neighbour_id", "distance"])
 
     return f
 
@@ -162,17 +167,18 @@ def _spread(sample: np.ndarray, count: int) -> np.ndarray:
     return np.array(out)
 
 
-def top_k(vectors: DataFrame, k: int = 10, pivots: int = 32, block: int = 4096, sample: int = 4096) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every vector, exactly.
+def top_k(vectors: DataFrame, k: int = 10, pivots: int = 32, block: int = 8192, sample: int = 4096, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every query, exactly. Queries are the
+    vectors whose vec_id is divisible by `every`; candidates are all vectors.
 
     Takes vec_id and embedding. Distances are Euclidean, in double precision. Pivots, and the centres of blocks,
-    come from the `sample` vectors of least hash; they change the speed alone. Every block is joined with those
-    blocks only that its vectors' k-th distances reach.
+    come from the `sample` vectors of least hash; they change the speed alone.
 
-    A null vec_id or embedding, and an embedding with a null, NaN or infinite element, takes no part; nor does one
-    whose length isn't the most frequent one (of several, the longest). Equal distances are ranked by smaller
-    neighbour_id. Repeated vec_ids: the least embedding counts. Fewer than k others: all of them. No vectors: no
-    rows. Other columns are ignored, whatever their names.
+    A null vec_id or embedding, and an embedding with a null, NaN or infinite element, takes no part; nor does an
+    empty one, or one whose length isn't the most frequent one (of several, the longest). Equal distances are ranked by
+    smaller neighbour_id. Repeated vec_ids: the least embedding counts. Fewer than k others: all of them. There are no
+    texts here; very long embeddings are compared whole. No vectors, or no queries: no rows. Other columns are
+    ignored, whatever their names.
     """
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -186,15 +192,20 @@ def top_k(vectors: DataFrame, k: int = 10, pivots: int = 32, block: int = 4096,
     some = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
     chosen = _spread(some, pivots)
     centres = some[: min(256, max(1, sizes["count"] // block))]
-    cell = rows.withColumn("cell", _cells(centres)("v"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("vec_id"), "vec_id")) - 1
-    blocked = cell.withColumn("block", F.hash("cell", F.floor(place / block))).select("block", "vec_id", "v")
+    cell = written(rows.withColumn("cell", _cells(centres)("v")))
+    # a crowded cell is cut by hash; there are at most 256 cells, whose sizes are broadcast
+    cuts = F.broadcast(cell.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts")))
+    blocked = cell.join(cuts, "cell").select((F.col("cell") + 256 * F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).cast("long").alias("block"), "vec_id", "v")
     kind = "float32" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "float64"
-    blocks = written(blocked.groupBy("block").applyInArrow(_pack(chosen, k, kind), _BLOCK))
-    ends = blocks.select("block", "reach", "low", "high")
-    other = ends.select(F.col("block").alias("other"), F.col("low").alias("low_d"), F.col("high").alias("high_d"))
-    gaps = F.array_max(F.zip_with(F.zip_with("low", "high_d", lambda a, b: a - b), F.zip_with("low_d", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
-    pairs = ends.crossJoin(other).withColumn("gap", F.when(F.col("block") == F.col("other"), -1.0).otherwise(F.greatest(gaps, F.lit(0.0)))).where(F.col("gap") <= F.col("reach") + 1e-9)
-    data = blocks.select(F.col("block").alias("other"), "ids", "vectors", "radius")
-    met = pairs.select("block", "other", "gap").join(data, "other").repartition(max(1, min(blocks.count(), 4 * partitions(spark))), "block").sortWithinPartitions("block", "gap", "other")
-    return met.select("block", "ids", "vectors", "radius").mapInArrow(_meet(chosen, k, kind), _NEAR)
+    blocks = written(blocked.groupBy("block").applyInArrow(_pack(chosen, k, every, kind), _BLOCK))
+    groups = max(1, -(-sizes["count"] // (every * _GROUP)))
+    tiles = max(1, partitions(spark) // groups)
+    spots = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda n, salt: F.pmod(F.xxhash64("block", F.lit(salt)), F.lit(n)).cast("int")
+    asks = blocks.mapInArrow(_asked(kind), _PART).withColumn("group", at(groups, 1)).withColumn("tile", spots(tiles))
+    data = blocks.select(F.lit(1).alias("kind"), *[c.split(" ")[0] for c in _PART.split(", ")[1:]]).withColumn("tile", at(tiles, 2)).withColumn("group", spots(groups))
+    both = asks.unionByName(data).withColumn("task", F.col("group") * tiles + F.col("tile"))
+    met = both.repartitionById(groups * tiles, F.col("task")).sortWithinPartitions("kind", "block").drop("task", "group", "tile")
+    near = met.mapInArrow(_searched(k, kind), _NEAR)
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "distance")
