@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
+from textloom.llm._lean import lean
 from textloom.llm._tables import written
 
 
@@ -92,7 +93,7 @@ def _rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 def repeated(docs: DataFrame, least: int) -> DataFrame:
     """Written rows (h, c, pos, doc_id): anchors that occur at two or more places, in the smallest doc_id of
     each content c; and, with pos = -words, each document of which there is more than one copy."""
-    rows = prepared(docs).mapInArrow(_rows(least), "h long, c long, pos int, doc_id long")
+    rows = prepared(docs).mapInArrow(lean(_rows(least)), "h long, c long, pos int, doc_id long")
     same, all_ = Window.partitionBy("h", "c", "pos"), Window.partitionBy("h")
     place = F.struct("c", "pos")
     seen = rows.repartition("h").select(

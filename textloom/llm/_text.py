@@ -119,6 +119,16 @@ def scan(texts: pa.Array) -> Words:
     return Words(hashes, np.searchsorted(start, off), start, end, data, off)
 
 
+def beginnings(w: Words, size: int) -> np.ndarray:
+    """Hash of the first `size` bytes, folded, of every word that is longer; 0 for the others."""
+    at = np.flatnonzero(w.end - w.start > size)
+    out = np.zeros(len(w.hash), np.uint64)
+    for k in range(size):
+        out[at] += _VALUE[w.data[w.start[at] + k]] * _POWERS[k]
+    out[at] = mix(out[at])
+    return out
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position; the last n - 1 positions have none."""
     if len(hashes) < n:

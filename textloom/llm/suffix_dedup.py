@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
+from textloom.llm._lean import lean
 from textloom.llm._anchors import of_content, repeated, texts_with, windows
 from textloom.llm._tables import partitions
 
@@ -190,9 +191,9 @@ def suffix_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     found = repeated(docs, least)
     copies = found.where("pos < 0").select("doc_id", "c", F.lit(0).alias("start_word"), (-F.col("pos")).alias("end_word")).distinct()
-    pieces = texts_with(docs, found).mapInArrow(_pieces(least), "h long, doc_id long, c long, start int, words binary")
+    pieces = texts_with(docs, found).mapInArrow(lean(_pieces(least)), "h long, doc_id long, c long, start int, words binary")
     spread = pieces.repartition(partitions(docs.sparkSession), "h").drop("h")
-    rows = spread.mapInArrow(_neighbours(least), "doc_id long, c long, start int, end int")
+    rows = spread.mapInArrow(lean(_neighbours(least)), "doc_id long, c long, start int, end int")
     rows = rows.join(copies.select("doc_id", "c"), ["doc_id", "c"], "left_anti")
-    parts = rows.repartition("doc_id", "c").sortWithinPartitions("doc_id", "c", "start").mapInArrow(_join(least), "doc_id long, start_word int, end_word int")
+    parts = rows.repartition("doc_id", "c").sortWithinPartitions("doc_id", "c", "start").mapInArrow(lean(_join(least)), "doc_id long, start_word int, end_word int")
     return parts.union(copies.select("doc_id", "start_word", "end_word"))

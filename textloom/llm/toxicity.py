@@ -1,24 +1,30 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Labels of documents become labels of words: a word of a toxic document is a toxic token if it occurs in a
-significantly larger share of the toxic than of the clean labelled documents. The field has two states, clean
-and toxic; forward-backward gives each word's probability of the toxic state.
+Labels of documents become labels of words, as no labels of words exist: a word of a toxic document is a toxic token
+if it occurs in a significantly larger share of the toxic than of the clean labelled documents of its language. The
+field has two states, clean and toxic; forward-backward gives each word's probability of the toxic state. Labels are
+then amended by the field itself and the field fitted once more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
+from textloom.llm._lean import release
 
 BITS = 20
-_SALT = (np.uint64(0), np.uint64(0x51ED2701A5C3), np.uint64(0x7F4A7C159E37))
+PREFIXES = (5, 7)  # bytes of a word's beginnings that are features
+_SALT = tuple(np.uint64(x) for x in (0, 0x51ED2701A5C3, 0x7F4A7C159E37, 0x2545F4914F6C, 0x6C8E9CF57093))
+FLOOR = 0.1  # marginals below it are what any word has, and would add up over a long text
+_CHUNK = 1 << 18  # words that the fit passes at once
 RESULT = "struct<n_words:long,score:double,toxic:boolean,spans:array<struct<start:int,end:int>>>"
 
 
@@ -33,14 +39,17 @@ class Field:
 
 
 def features(w: tx.Words) -> np.ndarray:
-    """Three feature numbers of every word: itself, the word before it and the one after it in its text."""
+    """Five feature numbers of every word: itself, the word before it and the one after it in its text, and its
+    beginnings, by which inflected forms that the labels don't have are known; words as short as a beginning share
+    one number for it."""
     h = w.hash
     before, after = np.zeros_like(h), np.zeros_like(h)
     before[1:], after[:-1] = h[:-1], h[1:]
     first, last = w.first[:-1][np.diff(w.first) > 0], w.first[1:][np.diff(w.first) > 0] - 1
     before[first], after[last] = 0, 0
     shift = np.uint64(64 - BITS)
-    return np.stack([(tx.mix(x ^ s) >> shift).astype(np.int64) for x, s in zip((h, before, after), _SALT, strict=True)])
+    parts = (h, before, after, *(tx.beginnings(w, n) for n in PREFIXES))
+    return np.stack([(tx.mix(x ^ s) >> shift).astype(np.int32) for x, s in zip(parts, _SALT, strict=True)])
 
 
 def emissions(field: Field, feats: np.ndarray) -> np.ndarray:
@@ -108,67 +117,140 @@ def forward_backward(score: np.ndarray, begins: np.ndarray, trans: np.ndarray, s
     return gamma, (xi / xi.sum(axis=(0, 1))).sum(axis=2)
 
 
-def token_labels(w: tx.Words, toxic: np.ndarray, ratio: float = 5.0, chance: float = 0.01) -> np.ndarray:
-    """Labels of words from labels of texts: in a toxic text, words whose share of toxic texts is `ratio` times
-    their share of clean ones or more, by more than chance (likelihood ratio, corrected for the number of words)."""
-    doc = w.doc()
-    _, which = np.unique(w.hash, return_inverse=True)
-    pair = np.unique(which * len(toxic) + doc)
-    word, text = pair // len(toxic), pair % len(toxic)
-    size = int(which.max()) + 1 if len(which) else 0
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    a, b = np.bincount(word[toxic[text]], minlength=size).astype(float), np.bincount(word[~toxic[text]], minlength=size).astype(float)
+def _odds(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """P-values of the likelihood ratio test that words in a of n1 and b of n0 texts are in equal shares of both."""
     p = (a + b) / max(1, n1 + n0)
 
     def part(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(q, 1e-300)), 0.0)
 
     g = 2 * (part(a, n1 * p) + part(n1 - a, n1 * (1 - p)) + part(b, n0 * p) + part(n0 - b, n0 * (1 - p)))
-    bad = (g >= 2 * np.log(max(size, 1) / chance)) & ((a + 0.5) / (n1 + 1) >= ratio * (b + 0.5) / (n0 + 1))
-    return bad[which] & toxic[doc]
+    return np.array([math.erfc(math.sqrt(x)) for x in np.maximum(g, 0) / 2])
+
 
+def _testable(count: np.ndarray, n1: int, n0: int, false: float) -> int:
+    """The least k such that at most k words can reach a p-value of false / k, by how many texts have them."""
+    c, often = np.unique(count, return_counts=True)
+    best = np.sort(np.repeat(_odds(np.minimum(c, n1), np.maximum(c - n1, 0), n1, n0), often))
+    k = np.arange(1, len(best) + 1)
+    return int(np.argmax(np.searchsorted(best, false / k, side="right") <= k)) + 1
 
-def fit(texts: list[str | None], toxic: list[bool], steps: int = 60, rate: float = 0.3, l2: float = 1e-4, least: int = 5) -> Field:
-    """Maximum conditional likelihood by full-batch Adam, with the features that occur `least` times or more;
-    without both kinds of texts, a field that finds nothing. Toxic texts in which no word is labelled are taken
-    for wrong labels: they don't count for the threshold."""
-    kind = np.array(toxic, bool)
+
+def token_labels(w: tx.Words, toxic: np.ndarray, group: np.ndarray | None = None, ratio: float = 5.0, false: float = 0.01) -> np.ndarray:
+    """Labels of words from labels of texts: in a toxic text, the words whose share of the group's toxic texts is
+    `ratio` times their share of its clean ones or more, at a false discovery rate of `false` within the group
+    (Benjamini and Hochberg; words too rare to be told from chance don't count as tests, after Tarone and Gilbert). Groups are languages, so that a rare one isn't measured by the words of all."""
+    group = np.zeros(len(toxic), np.int64) if group is None else group
+    doc = w.doc()
+    out = np.zeros(len(doc), bool)
+    for k in np.unique(group):
+        n1, n0 = int((toxic & (group == k)).sum()), int((~toxic & (group == k)).sum())
+        at = np.flatnonzero(group[doc] == k)
+        if not (n1 and n0 and len(at)):
+            continue
+        _, which = np.unique(w.hash[at], return_inverse=True)
+        pair = np.unique(which * len(toxic) + doc[at])
+        word, hot = pair // len(toxic), toxic[pair % len(toxic)]
+        size = int(which.max()) + 1
+        a, b = np.bincount(word[hot], minlength=size).astype(float), np.bincount(word[~hot], minlength=size).astype(float)
+        some = np.flatnonzero((a + 0.5) / (n1 + 1) >= ratio * (b + 0.5) / (n0 + 1))
+        p = _odds(a[some], b[some], n1, n0)
+        order = np.argsort(p, kind="stable")
+        below = np.flatnonzero(p[order] <= false * np.arange(1, len(p) + 1) / _testable(a + b, n1, n0, false))
+        bad = np.zeros(size, bool)
+        bad[some[order[: below[-1] + 1 if len(below) else 0]]] = True
+        out[at] = bad[which] & toxic[doc[at]]
+    return out
+
+
+def distinct_texts(texts: list[str | None], toxic: list[bool], size: int = 5, hands: int = 8, same: int = 3) -> list[int]:
+    """Positions of the texts without near copies of those before them of the same label: copies would make each of
+    their words look like a mark of the label. Near is to have `same` of `hands` least hashes of n-grams in common."""
     w = tx.scan(pa.array(texts, pa.large_string()))
-    label = token_labels(w, kind) if kind.any() and not kind.all() and len(w.hash) else np.zeros(len(w.hash), bool)
-    if not label.any():
-        return Field(np.zeros(1 << BITS, np.float32), np.log([[0.5, 0.5], [0.5, 0.5]]), np.log([1 - 1e-9, 1e-9]), float("inf"))
-    feats = features(w)
+    known: dict[tuple, list[int]] = {}
+    out = []
+    for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist(), strict=False)):
+        g = tx.grams(w.hash[a:b], min(size, b - a)) if b > a else np.zeros(1, np.uint64)
+        least = [(bool(toxic[i]), k, int(tx.mix(g ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min())) for k in range(hands)]
+        met: dict[int, int] = {}
+        for key in least:
+            for j in known.get(key, ()):
+                met[j] = met.get(j, 0) + 1
+        if max(met.values(), default=0) < same:
+            out.append(i)
+            for key in least:
+                known.setdefault(key, []).append(i)
+    return out
+
+
+def _chunked(w: tx.Words) -> list[slice]:
+    """Whole texts, of about _CHUNK words together."""
+    cut = np.unique(w.first[np.append(0, np.searchsorted(w.first, np.arange(_CHUNK, w.first[-1] + _CHUNK, _CHUNK)).clip(max=len(w.first) - 1))])
+    return [slice(a, b) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+
+
+def _marginals(field: Field, feats: np.ndarray, begins: np.ndarray, chunks: list[slice]) -> np.ndarray:
+    return np.concatenate([forward_backward(emissions(field, feats[:, z]), begins[z], field.trans, field.start)[0] for z in chunks])
+
+
+def _maximised(w: tx.Words, feats: np.ndarray, label: np.ndarray, texts: int, steps: int, rate: float, l2: float, least: int, before: Field | None = None) -> Field:
     used, at, often = np.unique(feats, return_inverse=True, return_counts=True)
-    at = at.reshape(feats.shape)
-    begins = np.zeros(len(label), bool)
-    begins[w.first[:-1][np.diff(w.first) > 0]] = True
-    y = label.astype(int)
+    at = at.reshape(feats.shape).astype(np.int32)
+    begins, chunks = _begins(w), _chunked(w)
+    y, inside = label.astype(int), ~begins[1:]
     seen = np.zeros((2, 2))
-    inside = ~begins[1:]
     np.add.at(seen, (y[:-1][inside], y[1:][inside]), 1)
     first = np.bincount(y[begins], minlength=2)
     x = np.zeros(len(used) + 6)
     x[-6:] = np.log([0.9995, 0.0005, 0.9, 0.1, 0.9995, 0.0005])
+    if before:
+        x[:-6], x[-6:-2], x[-2:] = before.weight[used], before.trans.ravel(), before.start
     mean, square = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
-        trans, start = x[-6:-2].reshape(2, 2), x[-2:]
-        gamma, pairs = forward_backward(np.clip(x[:-6][at].sum(axis=0), -30, 30), begins, trans, start)
-        miss = label - gamma
-        grad = np.concatenate([
-            sum(np.bincount(a, weights=miss, minlength=len(used)) for a in at),
-            (seen - pairs).ravel(),
-            first - np.array([(1 - gamma[begins]).sum(), gamma[begins].sum()]),
-        ]) - l2 * len(kind) * x
+        grad = np.concatenate([np.zeros(len(used)), seen.ravel(), first]) - l2 * texts * x
+        for z in chunks:
+            gamma, pairs = forward_backward(np.clip(x[:-6][at[:, z]].sum(axis=0), -30, 30), begins[z], x[-6:-2].reshape(2, 2), x[-2:])
+            miss = label[z] - gamma
+            for a in at[:, z]:
+                grad[:-6] += np.bincount(a, weights=miss, minlength=len(used))
+            hot = gamma[begins[z]].sum()
+            grad[-6:] -= np.array([*pairs.ravel(), begins[z].sum() - hot, hot])
         grad[:-6][often < least] = 0
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         x += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     weight = np.zeros(1 << BITS, np.float32)
     weight[used] = x[:-6]
-    field = Field(weight, x[-6:-2].reshape(2, 2).copy(), x[-2:].copy(), 0.5)
-    gamma, _ = forward_backward(emissions(field, feats), begins, field.trans, field.start)
-    total = np.bincount(w.doc(), weights=gamma, minlength=len(kind))
-    sure = ~kind | (np.bincount(w.doc(), weights=label, minlength=len(kind)) > 0)
-    field.threshold = _threshold(total[sure], kind[sure])
+    return Field(weight, x[-6:-2].reshape(2, 2).copy(), x[-2:].copy(), 0.5)
+
+
+def _total(gamma: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    return np.bincount(doc, weights=np.where(gamma >= FLOOR, gamma, 0), minlength=texts) if len(gamma) else np.zeros(texts)
+
+
+def _begins(w: tx.Words) -> np.ndarray:
+    begins = np.zeros(len(w.hash), bool)
+    begins[w.first[:-1][np.diff(w.first) > 0]] = True
+    return begins
+
+
+def fit(texts: list[str | None], toxic: list[bool], group: list[str] | None = None, steps: int = 30, rate: float = 0.3, l2: float = 1e-4, least: int = 3) -> Field:
+    """Maximum conditional likelihood by full-batch Adam, with the features that occur `least` times or more (one that
+    occurs less is learned by heart); without both kinds of texts, a field that finds nothing.
+
+    Fitted twice: words of toxic texts that the first field tags, such as rare forms known by their beginning, are
+    labelled too, and the second field goes on from the first one with these labels."""
+    own = distinct_texts(texts, toxic)
+    kind, group = np.array(toxic, bool)[own], group and [group[i] for i in own]
+    w = tx.scan(pa.array([texts[i] for i in own], pa.large_string()))
+    groups = np.unique([g or "" for g in group], return_inverse=True)[1] if group else None
+    label = token_labels(w, kind, groups) if kind.any() and not kind.all() and len(w.hash) else np.zeros(len(w.hash), bool)
+    if not label.any():
+        return Field(np.zeros(1 << BITS, np.float32), np.log([[0.5, 0.5], [0.5, 0.5]]), np.log([1 - 1e-9, 1e-9]), float("inf"))
+    feats, begins, chunks, doc = features(w), _begins(w), _chunked(w), w.doc()
+    field = _maximised(w, feats, label, len(kind), steps, rate, l2, least)
+    label |= (_marginals(field, feats, begins, chunks) >= 0.5) & kind[doc]
+    field = _maximised(w, feats, label, len(kind), steps, rate, l2, least, field)
+    field.threshold = _threshold(_total(_marginals(field, feats, begins, chunks), doc, len(kind)), kind)
     return field
 
 
@@ -187,11 +269,9 @@ def _threshold(score: np.ndarray, toxic: np.ndarray) -> float:
 def tag(field: Field, texts: pa.Array) -> list[dict]:
     """What the field says of each text."""
     w = tx.scan(texts)
-    begins = np.zeros(len(w.hash), bool)
-    n = np.diff(w.first)
-    begins[w.first[:-1][n > 0]] = True
+    begins, n = _begins(w), np.diff(w.first)
     gamma, _ = forward_backward(emissions(field, features(w)), begins, field.trans, field.start) if len(w.hash) else (np.zeros(0), None)
-    total = np.bincount(w.doc(), weights=gamma, minlength=len(n)) if len(gamma) else np.zeros(len(n))
+    total = _total(gamma, w.doc(), len(n))
     spans: dict[int, list[dict]] = {}
     hit = gamma >= 0.5
     if hit.any():
@@ -204,14 +284,25 @@ def tag(field: Field, texts: pa.Array) -> list[dict]:
     return [{"n_words": int(n[i]), "score": float(total[i]), "toxic": bool(total[i] >= field.threshold), "spans": spans.get(i, [])} for i in range(len(n))]
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = 400) -> Field:
-    """Fits the field on at most `fit_rows` labelled documents of either kind, chosen by hash of doc_id."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") != 0).alias("toxic")).dropna().distinct()
+def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000) -> Field:
+    """Fits the field on at most `fit_rows` labelled documents of either kind, evenly of each language (where docs
+    has a column lang), chosen by hash of doc_id; of equal texts, one."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") != 0).alias("toxic")).dropna().distinct()
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64(F.col("text").cast("string")).alias("h")).where("doc_id is not null")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = rows.where("toxic").orderBy(*order).limit(fit_rows).union(rows.where("not toxic").orderBy(*order).limit(fit_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text", "toxic").collect()
-    return fit([r["text"] for r in known], [r["toxic"] for r in known])
+    each = known.join(light, "doc_id").groupBy("toxic", "lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    for part in ([F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))], []):  # no task ranks all rows of a language
+        ranked = F.row_number().over(Window.partitionBy("toxic", "lang", *part).orderBy(*order))
+        each = each.withColumn("turn", ranked).where(F.col("turn") <= fit_rows)
+    some = each.where("toxic").orderBy("turn", *order).limit(fit_rows).union(each.where("not toxic").orderBy("turn", *order).limit(fit_rows))
+    some = some.select("doc_id", "toxic", "lang").toPandas()
+    if some.empty:
+        return fit([], [])
+    schema = "doc_id long, toxic boolean, lang string"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(some, schema)), ["doc_id", "lang"]).orderBy("doc_id", "text", "toxic").collect()
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows])
 
 
 def tagger(docs: DataFrame, field: Field) -> Column:
@@ -225,15 +316,16 @@ def tagger(docs: DataFrame, field: Field) -> Column:
             batch = pa.RecordBatch.from_arrays([texts], names=["text"])
             out = [x for piece in tx.pieces(batch, "text") for x in tag(sent.value, piece.column("text"))]
             yield pa.array(out, kind)
+        release()
 
     return of(F.col("text").cast("string"))
 
 
-def toxic_spans(docs: DataFrame, labels: DataFrame, fit_rows: int = 400) -> DataFrame:
+def toxic_spans(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000) -> DataFrame:
     """(doc_id, n_words, score, toxic, spans) for every row of docs.
 
-    score is the expected number of toxic words, the sum of their marginals; toxic, whether it reaches the
-    threshold learned from the labelled documents; spans, the character offsets [start, end) of the runs of words
+    score is the expected number of toxic words, the sum of the marginals of FLOOR or more; toxic, whether it reaches
+    the threshold learned from the labelled documents; spans, the character offsets [start, end) of the runs of words
     with a marginal of one half or more. Only `fit_rows` labelled documents of either kind come to the driver.
 
     Null and empty texts have no words, score 0 and no span. Rows of null doc_id are tagged like others; repeated
@@ -245,6 +337,6 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, fit_rows: int = 400) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).select("doc_id", "found.*")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 400) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000) -> DataFrame:
     """The rows of docs that aren't toxic, with all columns."""
     return docs.where(~tagger(docs, trained(docs, labels, fit_rows))["toxic"])
