@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
+from textloom.llm._lean import lean
 from textloom.llm._tables import partitions, written
 
 CLASSES, MEMBERS = 64, 64
@@ -30,6 +31,7 @@ PAD = V
 SIDE = 2
 DIM = 32
 _SHAPES = {"e": (2 * SIDE, V + 1, DIM), "b": (DIM,), "c": (DIM, CLASSES), "cb": (CLASSES,), "m": (CLASSES, DIM, MEMBERS), "mb": (CLASSES, MEMBERS)}
+_BATCH = 1 << 13  # words of a step
 _SLICE = 1 << 15
 _CHUNK = 1 << 20  # words without a number of their own that a task holds
 _PARTIAL = "chunk string, bucket int, doc_id array<long>, n array<long>, total array<double>, doc binary, code binary, words binary, counts binary"
@@ -94,8 +96,8 @@ def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     x -= x.max(axis=1, keepdims=True)
     hit = x[np.arange(len(x)), target].copy()
     np.exp(x, out=x)
-    z = x.sum(axis=1)
-    x /= z[:, None]
+    z = x @ _ones(x.shape[1])
+    x *= (1 / z)[:, None]
     return hit - np.log(z), x
 
 
@@ -103,18 +105,16 @@ def log_probs(p: Params, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target between its neighbours."""
     out = np.empty(len(target), np.float32)
     for a in range(0, len(target), 1 << 15):
-        t = target[a : a + (1 << 15)]
-        h = _hidden(p, ctx[:, a : a + (1 << 15)])
+        order = a + np.argsort(target[a : a + (1 << 15)] % CLASSES, kind="stable")
+        t = target[order]
+        h = _hidden(p, ctx[:, order])
         cls, member = t % CLASSES, t // CLASSES
         lp = _lse(h @ p["c"] + p["cb"], cls)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        h, inner = h[order], np.empty(len(t), np.float32)
-        for c in range(CLASSES):
-            i, j = cuts[c], cuts[c + 1]
-            if j > i:
-                inner[order[i:j]] = _lse(h[i:j] @ p["m"][c] + p["mb"][c], member[order[i:j]])
-        out[a : a + len(t)] = lp + inner
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            z = slice(cuts[c], cuts[c + 1])
+            lp[z] += _lse(h[z] @ p["m"][c] + p["mb"][c], member[z])
+        out[order] = lp
     return out
 
 
@@ -123,7 +123,11 @@ def _lse(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
     x -= top[:, None]
     np.exp(x, out=x)
-    return hit - top - np.log(x.sum(axis=1))
+    return hit - top - np.log(x @ _ones(x.shape[1]))
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
 
 
 class Adagrad:
@@ -138,6 +142,8 @@ class Adagrad:
     def step(self, ctx: np.ndarray, target: np.ndarray) -> float:
         """One step on a batch; returns the mean log-probability before it."""
         p, n = self.p, len(target)
+        order = np.argsort(target % CLASSES, kind="stable")  # words of a class lie together
+        ctx, target = ctx[:, order], target[order]
         cls, member = target % CLASSES, target // CLASSES
         h = _hidden(p, ctx)
         lp, q = _softmax(h @ p["c"] + p["cb"], cls)
@@ -147,24 +153,24 @@ class Adagrad:
         dh = q @ p["c"].T
         self.dense("c", h.T @ q)
         self.dense("cb", q.sum(axis=0))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)):
-            o = order[cuts[c] : cuts[c + 1]]
-            lp, q = _softmax(h[o] @ p["m"][c] + p["mb"][c], member[o])
+            z = slice(cuts[c], cuts[c + 1])
+            lp, q = _softmax(h[z] @ p["m"][c] + p["mb"][c], member[z])
             total += float(lp.sum())
-            q[np.arange(len(o)), member[o]] -= 1
+            q[np.arange(len(q)), member[z]] -= 1
             q /= n
-            dh[o] += q @ p["m"][c].T
-            self.dense("m", h[o].T @ q, c)
+            dh[z] += q @ p["m"][c].T
+            self.dense("m", h[z].T @ q, c)
             self.dense("mb", q.sum(axis=0), c)
         dh *= 1 - h * h
         self.dense("b", dh.sum(axis=0))
+        each, rows = np.arange(DIM), dh.ravel().astype(np.float64)
+        at = np.empty((n, DIM), np.int64)
         for k in range(len(ctx)):
-            order = np.argsort(ctx[k], kind="stable")
-            word = ctx[k][order]
-            new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            self.dense("e", np.add.reduceat(dh[order], new), (k, word[new]))
+            np.add(ctx[k][:, None] * DIM, each, out=at)
+            grad = np.bincount(at.ravel(), weights=rows, minlength=(V + 1) * DIM)
+            self.dense("e", grad.reshape(V + 1, DIM).astype(np.float32), k)
         return total / n
 
 
@@ -206,10 +212,10 @@ def _trained(sent, every: int, turn: int, rate: float, batches: Iterator[pa.Reco
             ctx.append(c[:, mask])
             target.append(ids[mask])
             seen += int(mask.sum())
-            if sum(map(len, target)) >= 4096:
+            if sum(map(len, target)) >= _BATCH:
                 x, t = np.concatenate(ctx, axis=1), np.concatenate(target)
-                for a in range(0, len(t), 4096):
-                    net.step(x[:, a : a + 4096], t[a : a + 4096])
+                for a in range(0, len(t), _BATCH):
+                    net.step(x[:, a : a + _BATCH], t[a : a + _BATCH])
                 ctx, target = [], []
     if sum(map(len, target)):
         net.step(np.concatenate(ctx, axis=1), np.concatenate(target))
@@ -217,7 +223,7 @@ def _trained(sent, every: int, turn: int, rate: float, batches: Iterator[pa.Reco
         x = flat(net.p)
         cuts = range(0, len(x), _SLICE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(cuts)), pa.int32()), pa.array([x[a : a + _SLICE].astype(np.float16).tobytes() for a in cuts], pa.binary()), pa.array([float(seen)] * len(cuts))], names=["part", "x", "n"]
+            [pa.array(range(len(cuts)), pa.int32()), pa.array([x[a : a + _SLICE].astype(np.float32).tobytes() for a in cuts], pa.binary()), pa.array([float(seen)] * len(cuts))], names=["part", "x", "n"]
         )
 
 
@@ -226,7 +232,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, x, n in zip(*(batch.column(c).to_pylist() for c in ("part", "x", "n")), strict=True):
             t = total.setdefault(part, [0.0, 0.0])
-            t[0] = t[0] + np.frombuffer(x, np.float16).astype(np.float64) * n
+            t[0] = t[0] + np.frombuffer(x, np.float32).astype(np.float64) * n
             t[1] += n
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(s / n).astype(np.float32).tobytes() for s, n in total.values()], pa.binary())], names=["part", "x"])
@@ -298,7 +304,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted hashes of the most frequent words of the corpus, their numbers by rank, how often each number
     occurs); ties by hash. A number that words share has the sum of their counts."""
-    counts = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(_counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     rows = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
     top, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], float)
     often = np.zeros(V)
@@ -321,8 +327,8 @@ def train(docs: DataFrame, known: np.ndarray, place: np.ndarray, often: np.ndarr
     parts = -(-len(x) // _SLICE)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((x, known, place))
-        local = texts.mapInArrow(partial(_trained, sent, every, turn % every, rate), "part int, x binary, n double")
-        mean = local.repartition(min(parts, partitions(spark)), "part").mapInArrow(_averaged, "part int, x binary")
+        local = texts.mapInArrow(lean(partial(_trained, sent, every, turn % every, rate)), "part int, x binary, n double")
+        mean = local.repartition(min(parts, partitions(spark)), "part").mapInArrow(lean(_averaged), "part int, x binary")
         got = {r["part"]: np.frombuffer(r["x"], np.float32) for r in mean.collect()}
         if got:
             x = np.concatenate([got[k] for k in range(parts)])
@@ -345,8 +351,8 @@ def scores(docs: DataFrame, rounds: int = 2, every: int = 2, seed: int = 11) ->
     sent = spark.sparkContext.broadcast((train(docs, known, place, often, rounds, every, seed=seed), known, place, often))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = partitions(spark)
-    partial_ = written(rows.mapInArrow(partial(_scored, sent, parts), _PARTIAL))
+    partial_ = written(rows.mapInArrow(lean(partial(_scored, sent, parts)), _PARTIAL))
     words = partial_.where("bucket is not null").select("chunk", "bucket", "words", "counts").repartitionById(parts, F.col("bucket"))
-    logs = words.mapInArrow(_weighed, "chunk string, bucket int, logs binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logs")).alias("parts"))
+    logs = words.mapInArrow(lean(_weighed), "chunk string, bucket int, logs binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logs")).alias("parts"))
     chunks = partial_.where("bucket is null").select("chunk", "doc_id", "n", "total", "doc", "code").join(logs, "chunk", "left")
-    return chunks.mapInArrow(_summed, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return chunks.mapInArrow(lean(_summed), "doc_id long, n_words long, log_prob double, mean_log_prob double")
