@@ -170,6 +170,20 @@ def test_common_lines(limit, monkeypatch):
         assert c == sorted(set(c)) and len(c) == lcs(a, b) and all(a[i] in rest for i in c)
 
 
+def test_common_lines_of_long_pages(monkeypatch):
+    """Which lines are common doesn't depend on how many vectors are held at once."""
+    rng = random.Random(6)
+    for _ in range(100):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(40))] for _ in range(2))
+        whole = page_diff.common(a, b)
+        monkeypatch.setattr(page_diff._Rows, "LEAST", 2)
+        assert page_diff.common(a, b) == whole
+        monkeypatch.undo()
+    long = [rng.randrange(1000) for _ in range(3000)]
+    other = [x for x in long if x % 7] + [5000]
+    assert [long[i] for i in page_diff.common(long, other)] == other[:-1]
+
+
 def test_lines_of():
     page = "<head><title>T</title></head><body><script>x<p>y</script><!-- c --><p>One &amp; <b>two</b><br>three<p> \n <li>four\nfive</li><style>z"
     assert page_diff.lines_of(page) == ["One & two", "three", "four five"]

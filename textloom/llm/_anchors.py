@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
@@ -90,17 +90,30 @@ def _rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return f
 
 
+def _spot() -> Column:
+    """A number for a place: of two places of an anchor, different ones have the same with a chance of 2 ** -64."""
+    return F.xxhash64("c", "pos")
+
+
+def several(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys two or more rows have. rows are read twice, so they should be written; a key that many rows have
+    is counted before the exchange, and its rows are divided among tasks by the join."""
+    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_")).where("_n_ > 1").drop("_n_")
+    return rows.join(often, list(keys))
+
+
 def repeated(docs: DataFrame, least: int) -> DataFrame:
     """Written rows (h, c, pos, doc_id): anchors that occur at two or more places, in the smallest doc_id of
-    each content c; and, with pos = -words, each document of which there is more than one copy."""
-    rows = prepared(docs).mapInArrow(lean(_rows(least)), "h long, c long, pos int, doc_id long")
-    same, all_ = Window.partitionBy("h", "c", "pos"), Window.partitionBy("h")
-    place = F.struct("c", "pos")
-    seen = rows.repartition("h").select(
-        "*", F.min("doc_id").over(same).alias("lo"), F.count(F.lit(1)).over(same).alias("copies")
-    ).select("*", (F.min(place).over(all_) != F.max(place).over(all_)).alias("places"))
-    keep = F.when(F.col("pos") < 0, F.col("copies") > 1).otherwise((F.col("doc_id") == F.col("lo")) & F.col("places"))
-    return written(seen.where(keep).select("h", "c", "pos", "doc_id"))
+    each content c; and, with pos = -words, each document of which there is more than one copy.
+
+    Counts are aggregated before they are exchanged, and joined back, so that an anchor that a third of all documents
+    hold, or a text with as many copies, is no task's group."""
+    rows = written(prepared(docs).mapInArrow(lean(_rows(least)), "h long, c long, pos int, doc_id long"))
+    places = rows.where("pos >= 0").groupBy("h", "c", "pos").agg(F.min("doc_id").alias("doc_id"))
+    often = rows.where("pos >= 0").groupBy("h").agg((F.min(_spot()) != F.max(_spot())).alias("places")).where("places").select("h")
+    copied = rows.where("pos < 0").groupBy("h", "c", "pos").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copies = rows.where("pos < 0").join(copied, ["h", "c", "pos"])
+    return written(places.join(often, "h").select("h", "c", "pos", "doc_id").union(copies.select("h", "c", "pos", "doc_id")))
 
 
 def texts_with(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -343,7 +343,7 @@ def scores(docs: DataFrame, rounds: int = 2, every: int = 2, seed: int = 11) ->
     all texts of docs; what comes to the driver is the network, of fixed size. The counts stay in the executors.
 
     Null, empty and wordless texts: 0 words, log_prob 0, mean_log_prob null. Rows of null doc_id are scored like
-    others, repeated rows each get the same score. No documents: no rows. Ties in word counts go by hash. Other
+    others, repeated rows each get the same score. Very long texts are scored whole. No documents: no rows. Ties in word counts go by hash. Other
     columns are ignored, whatever their names.
     """
     known, place, often = vocabulary(docs)

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm._tables import written
+
 LEVELS = ("domain", "lang", "source")
 #: Production weights: shares of siblings; a name that isn't listed has 1.
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -72,10 +74,10 @@ def _key(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.col("doc_id").cast("string")))
 
 
-def _selected(docs: DataFrame, weights, fraction: float, epochs: int, seed: int) -> DataFrame:
+def _selected(docs: DataFrame, weights, fraction: float, epochs: int, seed: int, whole: bool) -> DataFrame:
     spark = docs.sparkSession
     rows = _prepared(docs, seed)
-    light = rows.drop("_row_")
+    light = written(rows.drop("_row_"))  # words are counted once
     sizes = {(r["domain"], r["lang"], r["source"]): int(r["n"]) for r in light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).collect()}
     tokens = allocate(sizes, weights, fraction * sum(sizes.values()), epochs)
     plan = []
@@ -96,7 +98,8 @@ def _selected(docs: DataFrame, weights, fraction: float, epochs: int, seed: int)
     cuts = {(r["domain"], r["lang"], r["source"]): r["cut"] for r in inside.withColumn("run", running).where("run >= rest").groupBy(*LEVELS).agg(F.min("key").alias("cut")).collect()}
     # without a cut the rest is all of the epoch: no key is above "g"
     final = [(*p[:4], (cuts.get(p[:3], "g") if p[4] else "")) for p in plan]
-    chosen = rows.join(spark.createDataFrame(final, leaf + ", cut string"), list(LEVELS))
+    source = rows if whole else light
+    chosen = source.join(spark.createDataFrame(final, leaf + ", cut string"), list(LEVELS))
     times = F.col("full") + F.when(_key(seed) <= F.col("cut"), 1).otherwise(0)
     return chosen.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
 
@@ -110,12 +113,13 @@ def mixture(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] = WEIGHT
     of the leaves, and one key for each, come to the driver; no text is shuffled.
 
     Null lang or source count as ''; sources without a number are domain `other`. Null and empty texts have no
-    tokens; they come along where the order takes them. Null doc_id: the row takes no part. Rows that share a
+    tokens; they come along where the order takes them. Very long texts count whole. Null doc_id: the row takes no part. Rows that share a
     doc_id are taken together. No documents: no rows. Other columns are ignored, whatever their names.
     """
-    return _selected(docs, weights, fraction, epochs, seed).select("doc_id", *LEVELS, "epoch", "n_tokens")
+    return _selected(docs, weights, fraction, epochs, seed, False).select("doc_id", *LEVELS, "epoch", "n_tokens")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, fraction: float = 0.5, epochs: int = 4, seed: int = 7) -> DataFrame:
-    """The rows that mixture() takes, with all columns of docs; once for each epoch."""
-    return _selected(docs, weights, fraction, epochs, seed).select("_row_.*")
+    """The rows that mixture() takes, with all columns of docs, whatever their names; once for each epoch. Nulls, empty
+    and very long texts, ties, repeated rows and no documents: as in mixture()."""
+    return _selected(docs, weights, fraction, epochs, seed, True).select("_row_.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from math import isqrt
 from os.path import commonprefix
 
 import numpy as np
@@ -56,30 +57,42 @@ def common(a: list, b: list) -> list[int]:
     return [*range(head), *(head + at[i] for i in middle), *range(len(a) - tail, len(a))]
 
 
-def _length(rows: list, cols: list) -> list[int]:
-    """Bit vectors after each element of rows: a zero at bit j says that the common length grows at cols[j]."""
-    where: dict = {}
-    for j, v in enumerate(cols):
-        where[v] = where.get(v, 0) | 1 << j
-    full, v, out = (1 << len(cols)) - 1, (1 << len(cols)) - 1, []
-    for x in rows:
-        u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        out.append(v)
-    return out
+class _Rows:
+    """Bit vectors after each element of x: a zero at bit j says that the common length grows at y[j]. Those between
+    two marks are made again when they are asked for, from the end backwards, so that two stretches are held."""
+
+    LEAST = 512
+
+    def __init__(self, x: list, y: list):
+        self.x, self.full, self.size = x, (1 << len(y)) - 1, max(self.LEAST, isqrt(len(x)))
+        self.where: dict = {}
+        for j, v in enumerate(y):
+            self.where[v] = self.where.get(v, 0) | 1 << j
+        self.marks, self.held, v = [], {}, self.full
+        for a in range(0, len(x), self.size):
+            self.marks.append(v)
+            self.held = {a // self.size: self._stretch(a, v)}
+            v = self.held[a // self.size][-1]
+
+    def _stretch(self, a: int, v: int) -> list[int]:
+        out = []
+        for e in self.x[a : a + self.size]:
+            u = v & self.where.get(e, 0)
+            v = ((v + u) | (v - u)) & self.full
+            out.append(v)
+        return out
+
+    def __getitem__(self, i: int) -> int:
+        k = i // self.size
+        if k not in self.held:
+            self.held = {k: self._stretch(k * self.size, self.marks[k])} | {j: r for j, r in self.held.items() if j == k + 1}
+        return self.held[k][i % self.size]
 
 
 def _aligned(x: list, y: list) -> list[int]:
     if not x or not y:
         return []
-    if len(x) * len(y) > 1 << 28 and len(x) > 1:  # halves, so that the vectors kept are bounded
-        mid, full = len(x) // 2, (1 << len(y)) - 1
-        down, up = ~_length(x[:mid], y)[-1] & full, ~_length(x[mid:][::-1], y[::-1])[-1] & full
-        left = np.cumsum([0, *(int(c) for c in bin(down)[2:].zfill(len(y))[::-1])])
-        right = np.cumsum([0, *(int(c) for c in bin(up)[2:].zfill(len(y))[::-1])])[::-1]
-        cut = int(np.argmax(left + right))
-        return _aligned(x[:mid], y[:cut]) + [mid + i for i in _aligned(x[mid:], y[cut:])]
-    rows = _length(x, y)
+    rows = _Rows(x, y)
     i, j, out = len(x) - 1, len(y) - 1, []
     while i >= 0 and j >= 0:
         if i and not (rows[i] ^ rows[i - 1]) & ((1 << j + 1) - 1):
@@ -150,7 +163,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     that is a copy too, or missing, there is no pair and all lines stay, even if the host has other pages.
 
     A null URL, or one without host, or a host with no second page: no pair, and all lines stay. Null and empty
-    html: no lines, text ''. Null page_id: the page takes part like others. Repeated rows count once in the
+    html: no lines, text ''. Very long pages are compared whole. Null page_id: the page takes part like others. Repeated rows count once in the
     order and each get the same result. No pages: no rows. Other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
 from textloom.llm._lean import lean
-from textloom.llm._anchors import of_content, repeated, size_of, texts_with
+from textloom.llm._anchors import of_content, repeated, several, size_of, texts_with
 from textloom.llm._tables import written
 
 _STRETCH = "doc_id long, c long, start int, words binary"
@@ -100,16 +100,16 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
 
     Null doc_id: the row takes no part. Null or empty text, and texts shorter than `least` words: no stretch.
     Repeated rows, and documents with the same words, are copies of each other. Rows that share a doc_id and
-    differ in text are separate documents. No documents: no rows. Ties don't arise: all occurrences are reported.
+    differ in text are separate documents. Very long texts count whole. No documents: no rows. Ties don't arise: all
+    occurrences are reported.
     """
     found = repeated(docs, least)
     copies = found.where("pos < 0").select("doc_id", F.lit(0).alias("start_word"), (-F.col("pos")).alias("end_word"), (-F.col("pos")).alias("longest"), "c").distinct()
     stretches = written(texts_with(docs, found).mapInArrow(lean(_first(least)), _STRETCH))
     length, spans = least, []
     while not stretches.isEmpty():
-        rows = stretches.mapInArrow(lean(_windows(length)), "h long, g long, doc_id long, c long, start int, i int")
-        twice = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h", "g"))).where("n > 1")
-        at = twice.groupBy("doc_id", "c", "start").agg(F.collect_list("i").alias("at"))
+        rows = written(stretches.mapInArrow(lean(_windows(length)), "h long, g long, doc_id long, c long, start int, i int"))
+        at = several(rows, "h", "g").groupBy("doc_id", "c", "start").agg(F.collect_list("i").alias("at"))
         step = written(stretches.join(at.hint("shuffle_hash"), ["doc_id", "c", "start"]).mapInArrow(lean(_extend(length)), "doc_id long, c long, start int, end int, words binary"))
         spans.append(step.where("words is null").select("doc_id", "c", "start", "end", F.lit(length).alias("length")))
         stretches = step.where("words is not null").select("doc_id", "c", "start", "words")

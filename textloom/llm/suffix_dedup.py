@@ -187,7 +187,7 @@ def suffix_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
 
     Null doc_id: the row takes no part. Null or empty text, and texts shorter than `least` words: no stretch.
     Repeated rows, and documents with the same words, are copies of each other. Rows that share a doc_id and
-    differ in text are separate documents. Ties don't arise. No documents: no rows.
+    differ in text are separate documents. Very long texts count whole. Ties don't arise. No documents: no rows.
     """
     found = repeated(docs, least)
     copies = found.where("pos < 0").select("doc_id", "c", F.lit(0).alias("start_word"), (-F.col("pos")).alias("end_word")).distinct()

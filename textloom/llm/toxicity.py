@@ -329,7 +329,7 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000) -> Dat
     with a marginal of one half or more. Only `fit_rows` labelled documents of either kind come to the driver.
 
     Null and empty texts have no words, score 0 and no span. Rows of null doc_id are tagged like others; repeated
-    rows each get the same result. Labels that are null, or of unknown documents, are not used; without both
+    rows each get the same result. Very long texts are tagged whole. Labels that are null, or of unknown documents, are not used; without both
     kinds of labels nothing is toxic. No documents: no rows. Ties: a score equal to the threshold is toxic. Other
     columns are ignored, whatever their names.
     """
@@ -338,5 +338,6 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000) -> Dat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000) -> DataFrame:
-    """The rows of docs that aren't toxic, with all columns."""
+    """The rows of docs that aren't toxic, as toxic_spans() has it, with all columns, whatever their names. Rows of null or
+    empty text, and of null doc_id, stay unless they are tagged; repeated rows stay or go together; no documents: no rows."""
     return docs.where(~tagger(docs, trained(docs, labels, fit_rows))["toxic"])
