@@ -63,7 +63,41 @@ _GRAMS = _WORDS + """,
                      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
              FROM words WHERE len(w) > 0)"""
 
+
+
+def _filled(name: str, rows: str, group: str, key: str) -> str:
+    """CTEs that give each child of rows (group, key, room, share, t) its part of the group's t: by share, but no more
+    than its room, which goes to the others. Children are full in the order of room by share, up to the first that isn't."""
+    by = f"PARTITION BY {group} ORDER BY room / share, {key}"
+    return f"""
+    {name}_a AS (SELECT *, row_number() OVER ({by}) AS r, least(t, sum(room) OVER (PARTITION BY {group})) - coalesce(sum(room) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                      sum(share) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares FROM {rows}),
+    {name}_b AS (SELECT *, min(CASE WHEN rest * share / shares < room THEN r END) OVER (PARTITION BY {group}) AS m FROM {name}_a),
+    {name} AS (SELECT *, CASE WHEN m IS NULL OR r < m THEN room ELSE share * max(CASE WHEN r = m THEN rest / shares END) OVER (PARTITION BY {group}) END AS given FROM {name}_b)"""
+
+
+_MIXING = f"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS number,
+                      coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS n_tokens FROM documents WHERE doc_id IS NOT NULL),
+    docs AS (SELECT doc_id, CASE WHEN number = '' THEN 'other' ELSE 'domain' || (number::BIGINT % 4) END AS domain, lang, source, n_tokens FROM t),
+    leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS size FROM docs GROUP BY ALL),
+    domains AS (SELECT 1 AS one, domain, 4 * sum(size) AS room, CASE domain WHEN 'domain0' THEN 4.0 WHEN 'domain1' THEN 3.0 WHEN 'domain2' THEN 2.0 ELSE 1.0 END::DOUBLE AS share,
+                       (SELECT 0.5::DOUBLE * sum(size) FROM leaf) AS t FROM leaf GROUP BY domain),
+    {_filled("d", "domains", "one", "domain")},
+    langs AS (SELECT l.domain, l.lang, 4 * sum(l.size) AS room, CASE l.lang WHEN 'en' THEN 5.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS share, any_value(d.given) AS t
+              FROM leaf l JOIN d USING (domain) GROUP BY l.domain, l.lang),
+    {_filled("g", "langs", "domain", "lang")},
+    sources AS (SELECT l.domain, l.lang, l.source, l.size, 4 * l.size AS room, 1.0::DOUBLE AS share, g.given AS t FROM leaf l JOIN g USING (domain, lang)),
+    {_filled("s", "sources", "domain, lang", "source")},
+    goals AS (SELECT domain, lang, source, least(4, floor(given / size))::INT AS whole, given - least(4, floor(given / size)) * size AS rest FROM s WHERE size > 0),
+    keyed AS (SELECT d.*, g.whole, g.rest, md5('7|' || g.whole || '|' || d.doc_id) AS k FROM docs d JOIN goals g USING (domain, lang, source)),
+    runs AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS run FROM keyed),
+    cuts AS (SELECT *, coalesce(min(CASE WHEN run >= rest THEN k END) OVER (PARTITION BY domain, lang, source), 'g') AS cut FROM runs)
+    SELECT doc_id, domain, lang, source, unnest(range(whole))::INT AS epoch, n_tokens FROM keyed
+    UNION ALL SELECT doc_id, domain, lang, source, whole, n_tokens FROM cuts WHERE whole < 4 AND rest > 1e-6 AND k <= cut"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": _MIXING,
     "op3_topk": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
