@@ -1,4 +1,9 @@
-"""From raw documents to packed training windows: toxicity, exact and near duplicates, mixture, packing."""
+"""From raw documents to packed training windows: toxicity, exact and near duplicates, mixture, packing.
+
+Every stage takes all rows and columns of documents, extra ones too, whatever their names. Null and empty texts and
+null doc_ids come through all filtering stages but count for no words, so they fill no window. Very long texts are
+read whole. Ties and repeated rows are as the stage's operator has them. No documents: no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +14,17 @@ from textloom.llm._tables import table, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field trained on the labels tags as toxic go."""
+    """Documents that the field trained on the labels tags as toxic go; labels that are null or of no document don't count."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each text, the row of the smallest doc_id stays."""
+    """Of each text, the row of the smallest doc_id stays; of null and of empty texts, one row each."""
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with similar n-grams, the one of the smallest doc_id stays."""
+    """Of each group of documents with similar n-grams, the one of the smallest doc_id stays; wordless texts stay."""
     return ngram_join.without_similar(docs)
 
 
@@ -34,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", clean), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mix), ("packing", pack)]
-#: A trained field and greedy walks have no SQL; tests/llm compares each stage with brute force.
+#: A trained field and greedy walks have no SQL; tests/llm (test_stages_decide) holds each stage against brute force.
 ORACLE_SQL: str | None = None
 
 

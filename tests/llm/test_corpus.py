@@ -223,3 +223,49 @@ def test_pipeline(spark, tmp_path, docs, corpus):
     staged = sorted(map(tuple, out.collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == staged and staged
     assert rng
+
+
+def test_stages_decide(spark, tmp_path):
+    """Each stage against brute force on its own input: toxic documents, copies, near copies, the mixture and every
+    word of what is left; labels that are null or of unknown documents don't count."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [[f"v{rng.randrange(900)}" for _ in range(80)] for _ in range(160)]
+    rows, labels, toxic = [], [], set()
+    for i, w in enumerate(base):
+        w = list(w)
+        if i % 4 == 0:
+            toxic.add(i)
+            for k in range(5):
+                w[rng.randrange(80)] = ["moron", "scum", "trash"][k % 3]
+        rows.append((i, " ".join(w)))
+        labels.append((i, i % 2, int(i % 4 == 0)))
+    labels += [(None, 1, 1), (3, None, None), (9999, 1, 1)]
+    rows += [(1000 + i, rows[i][1]) for i in (1, 2, 3)] + [(2000 + i, rows[i][1] + " tail") for i in (5, 6)] + [(3000, None), (3001, ""), (None, "v1 v2")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: Counter(r["doc_id"] for r in df.collect())
+    all_ids, stages = Counter(i for i, _ in rows), dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    assert ids(clean) == all_ids - Counter(toxic)
+    exact = stages["exact_dedup"](spark, clean, str(tmp_path)).cache()
+    assert ids(exact) == ids(clean) - Counter([1001, 1002, 1003])
+    near = stages["ngram_join"](spark, exact, str(tmp_path)).cache()
+    assert ids(near) == ids(exact) - Counter([2005, 2006])
+    mixed = stages["mixing"](spark, near, str(tmp_path)).cache()
+    expected = Counter(r["doc_id"] for r in mixing.mixture(near).collect())
+    assert ids(mixed) == expected and expected
+    text = dict(rows)
+    out = Counter()
+    for r in stages["packing"](spark, mixed, str(tmp_path)).collect():
+        out[r["doc_id"]] += r["end_token"] - r["start_token"]
+    assert out == Counter({i: n * len(tx.plain_words(text[i])) for i, n in expected.items() if i is not None and tx.plain_words(text[i])})
+
+
+def test_pipeline_of_nothing(spark, tmp_path, nothing):
+    import corpus_pipeline
+
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

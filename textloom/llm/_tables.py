@@ -19,22 +19,31 @@ _own: dict[str, str] = {}
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """This application's own folder below the one that all executors share, spark.checkpoint.dir; below a temporary
+    one only where that is unset and all tasks run on this machine. clear() removes it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    key = spark.sparkContext.applicationId
     if not at:
-        key = spark.sparkContext.applicationId
-        at = _own.setdefault(key, "") or _own.update({key: tempfile.mkdtemp(prefix="textloom-")}) or _own[key]
-    return at.rstrip("/")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = _own.get(key) or _own.setdefault(key, tempfile.mkdtemp(prefix="textloom-"))
+    return f"{at.rstrip('/')}/textloom-{key}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """Runs df once and returns what it wrote to the shared folder, so that later steps don't repeat it and
     an executor's loss costs nothing that was done before."""
-    path = f"{shared(df.sparkSession)}/textloom-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all that written() made in this application; results that weren't saved can't be read any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
