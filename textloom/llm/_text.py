@@ -112,9 +112,10 @@ def scan(texts: pa.Array) -> Words:
     if not len(start):
         zero = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(off), np.int64), zero, zero, data, off)
-    within = np.arange(start[0], n) - np.repeat(start, np.diff(start, append=n))
+    within = np.arange(start[0], n, dtype=np.int32) - np.repeat(start.astype(np.int32), np.diff(start, append=n))
     powers = _POWERS if (most := int((end - start).max())) <= len(_POWERS) else _powers(most)
-    value = _VALUE[data[start[0] :]] * powers[np.minimum(within, len(powers) - 1)]
+    value = _VALUE.take(data[start[0] :])
+    value *= powers.take(within, mode="clip")
     hashes = mix(np.add.reduceat(value, start - start[0]))
     return Words(hashes, np.searchsorted(start, off), start, end, data, off)
 

@@ -72,16 +72,15 @@ def numbers(hashes: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndar
     return np.where(known[at] == hashes, place[at], rest)
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """(2 * SIDE, n): the numbers of the words before and after each word in its text, PAD beyond its ends."""
-    n = len(ids)
-    at = np.arange(n)
-    out = []
-    for k in [*range(-SIDE, 0), *range(1, SIDE + 1)]:
-        p = at + k
-        ok = (p >= first) & (p < last)
-        out.append(np.where(ok, ids[np.clip(p, 0, max(0, n - 1))], PAD))
-    return np.stack(out)
+def contexts(ids: np.ndarray, w: tx.Words, at: np.ndarray) -> np.ndarray:
+    """(2 * SIDE, len(at)): the numbers of the words before and after the words `at` in their text, PAD beyond its ends."""
+    n = np.diff(w.first)
+    first, last = np.repeat(w.first[:-1], n)[at], np.repeat(w.first[1:], n)[at]
+    out = np.full((2 * SIDE, len(at)), PAD, np.int64)
+    for row, k in zip(out, [*range(-SIDE, 0), *range(1, SIDE + 1)], strict=True):
+        ok = np.flatnonzero((at + k >= first) & (at + k < last))
+        row[ok] = ids[at[ok] + k]
+    return out
 
 
 def _hidden(p: Params, ctx: np.ndarray) -> np.ndarray:
@@ -104,8 +103,8 @@ def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def log_probs(p: Params, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target between its neighbours."""
     out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), 1 << 15):
-        order = a + np.argsort(target[a : a + (1 << 15)] % CLASSES, kind="stable")
+    for a in range(0, len(target), 1 << 14):
+        order = a + np.argsort(target[a : a + (1 << 14)] % CLASSES, kind="stable")
         t = target[order]
         h = _hidden(p, ctx[:, order])
         cls, member = t % CLASSES, t // CLASSES
@@ -194,10 +193,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _read(piece: pa.RecordBatch, known: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, tx.Words]:
+def _read(piece: pa.RecordBatch, known: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, tx.Words]:
     w = tx.scan(piece.column("text"))
-    ids = numbers(w.hash, known, place)
-    return ids, contexts(ids, np.repeat(w.first[:-1], np.diff(w.first)), w.last()), w
+    return numbers(w.hash, known, place), w
 
 
 def _trained(sent, every: int, turn: int, rate: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +204,12 @@ def _trained(sent, every: int, turn: int, rate: float, batches: Iterator[pa.Reco
     seen, ctx, target = 0, [], []
     for batch in batches:
         for piece in tx.pieces(batch, "text"):
-            ids, c, w = _read(piece, known, place)
+            ids, w = _read(piece, known, place)
             # masked words: every `every`-th by a hash of the word and its place
-            mask = (tx.mix(w.hash + np.arange(len(ids), dtype=np.uint64) * tx.GRAM) % np.uint64(every)) == turn
-            ctx.append(c[:, mask])
+            mask = np.flatnonzero(tx.mix(w.hash + np.arange(len(ids), dtype=np.uint64) * tx.GRAM) % np.uint64(every) == turn)
+            ctx.append(contexts(ids, w, mask))
             target.append(ids[mask])
-            seen += int(mask.sum())
+            seen += len(mask)
             if sum(map(len, target)) >= _BATCH:
                 x, t = np.concatenate(ctx, axis=1), np.concatenate(target)
                 for a in range(0, len(t), _BATCH):
@@ -263,7 +261,8 @@ def _scored(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
     for batch in batches:
         for piece in tx.pieces(batch, "text"):
-            ids, ctx, w = _read(piece, known, place)
+            ids, w = _read(piece, known, place)
+            ctx = contexts(ids, w, np.arange(len(ids)))
             n, doc, rare = np.diff(w.first), w.doc(), ids >= KNOWN
             total = np.bincount(doc, weights=log_probs(p, ctx, ids) - np.where(rare, log[ids], 0), minlength=len(n)) if len(ids) else np.zeros(len(n))
             held.append((piece.column("doc_id").to_pylist(), n, total, doc[rare], w.hash[rare]))
