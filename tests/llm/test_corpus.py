@@ -206,6 +206,35 @@ def test_page_differencing(spark):
     assert page_diff.main_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", ["1", "3", "16"])
+def test_pages_of_hot_hosts(spark, parts):
+    """Pairs over the borders of ranges are those that one list of all pages gives."""
+    rng = random.Random(int(parts))
+    rows = []
+    for i in range(60):
+        host = "hot.org" if i % 3 else f"h{i % 4}.org"
+        lines = [f"menu {host}", *(f"line {rng.randrange(12)}" for _ in range(rng.randrange(1, 6))), "foot"]
+        rows.append((i, f"http://{host}/{'abc'[rng.randrange(3)]}/{rng.randrange(20)}", "".join(f"<p>{x}</p>" for x in lines), 1, "x", 2))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, part int, host string, spot int")
+    now = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["page_id"]: (r["pair_id"], r["text"]) for r in page_diff.main_text(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", now)
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3], r[0]))
+    for k, r in enumerate(order):
+        path, lines = "/" + r[1].split("/", 3)[3], page_diff.lines_of(r[2])
+        best, score = None, -1
+        for other in ([order[k - 1]] if k else []) + order[k + 1 : k + 2]:
+            there = "/" + other[1].split("/", 3)[3]
+            n = len(page_diff.commonprefix([path, there]))
+            if other[1].split("/")[2] == r[1].split("/")[2] and page_diff.lines_of(other[2]) != lines and n > score:
+                best, score = other, n
+        gone = set(page_diff.common(lines, page_diff.lines_of(best[2]))) if best else set()
+        assert got[r[0]] == (best[0] if best else None, "\n".join(x for i, x in enumerate(lines) if i not in gone))
+
+
 def test_pipeline(spark, tmp_path, docs, corpus):
     import corpus_pipeline
 

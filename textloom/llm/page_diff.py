@@ -15,9 +15,12 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._tables import partitions, written
+
 _BLOCK = (
     "address|article|aside|blockquote|body|br|button|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|"
     "frameset|h[1-6]|header|hgroup|hr|html|legend|li|main|menu|nav|ol|optgroup|option|p|pre|section|select|summary|table|tbody|td|textarea|tfoot|th|"
@@ -125,20 +128,59 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(text, pa.string())], names=[*names, "lines"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ROW = ["k1", "k2", "page_id", "host", "path", "lines"]
+_MET = "k1 long, k2 long, pair_id long, gone array<int>, part int, spot int, last boolean, page_id long, host string, path string, lines array<long>"
+
+
+def _pair(row: dict, before: dict | None, after: dict | None) -> tuple[int, int, int | None, list[int]] | None:
+    """What goes from a page: the lines that it has in common with the neighbour of its host whose path begins alike."""
+    best, score = None, -1
+    for side in (before, after):
+        if side and side["host"] == row["host"] and side["lines"] != row["lines"] and (n := len(commonprefix([row["path"], side["path"]]))) > score:
+            best, score = side, n
+    return (row["k1"], row["k2"], best["page_id"], common(row["lines"], best["lines"])) if best else None
+
+
+def _batch(found: list[tuple], ends: list[tuple[int, bool, dict]]) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    rows = [(*f, None, None, None, None, None, None, None) for f in found]
+    rows += [(r["k1"], r["k2"], None, None, part, spot, last, r["page_id"], r["host"], r["path"], r["lines"]) for spot, last, r in ends]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split(" ")[0] for c in _MET.split(", ")])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages come in order. Those with a page on either side in the partition are done with; the first two and the last
+    two go on, so that what lies on the next partition's border is found."""
+    held: list[dict] = []  # the two before
+    count = 0
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("k1", "k2", "path", "lines", "p", "q"))
-        out = []
-        for k1, k2, path, lines, *sides in zip(*columns, strict=True):
-            best, score = None, -1
-            for side in sides:
-                if side and side["lines"] != lines and (n := len(commonprefix([path, side["path"]]))) > score:
-                    best, score = side, n
-            if best:
-                out.append((k1, k2, best["page_id"], common(lines, best["lines"])))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "pair_id", "gone"])
+        found, ends = [], []
+        for row in batch.select(_ROW).to_pylist():
+            if len(held) == 2 and (out := _pair(held[1], held[0], row)):
+                found.append(out)
+            if count < 2:
+                ends.append((count, False, row))
+            held = [*held[-1:], row]
+            count += 1
+        if found or ends:
+            yield _batch(found, ends)
+    if held:
+        yield _batch([], [(count - len(held) + i, i == len(held) - 1, r) for i, r in enumerate(held)])
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of all partitions in order: the first and the last page of each are done with here."""
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and (rows[-1]["part"], rows[-1]["spot"]) == (row["part"], row["spot"]):
+                rows[-1]["last"] |= row["last"]
+            else:
+                rows.append(row)
+    found = [out for i, r in enumerate(rows) if (r["spot"] == 0 or r["last"]) and (out := _pair(r, rows[i - 1] if i else None, rows[i + 1] if i + 1 < len(rows) else None))]
+    if found:
+        yield _batch(found, [])
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +215,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     # html is parsed once more below, but only hashes of lines are shuffled here
     thin = keyed.select("k1", "k2", "page_id", host.alias("host"), path.alias("path"), "html").where("host <> ''")
     thin = thin.mapInArrow(_hashed, "k1 long, k2 long, page_id long, host string, path string, lines array<long>").dropDuplicates(["host", "k1", "k2"])
-    order = Window.partitionBy("host").orderBy("path", F.col("page_id").asc_nulls_first(), "k1", "k2")
-    side = F.struct("page_id", "path", "lines")
-    near = thin.select("k1", "k2", "path", "lines", F.lag(side).over(order).alias("p"), F.lead(side).over(order).alias("q"))
-    found = near.mapInArrow(_paired, "k1 long, k2 long, pair_id long, gone array<int>")
+    # pages are sorted by ranges, so that a host of any size is many tasks' work; two pages at each end of a range are
+    # paired over the borders, in one task with four rows for each range
+    order = ["host", "path", F.col("page_id").asc_nulls_first(), "k1", "k2"]
+    laid = thin.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
+    met = written(laid.mapInArrow(_met, _MET))
+    borders = met.where("part is not null").repartition(1).sortWithinPartitions("part", "spot").mapInArrow(_borders, _MET)
+    found = met.where("part is null").union(borders).select("k1", "k2", "pair_id", "gone")
     full = keyed.mapInArrow(_texts, "page_id long, url string, k1 long, k2 long, lines string").join(found, ["k1", "k2"], "left")
     return full.select("page_id", "url", "pair_id", "lines", "gone").mapInArrow(_rest, "page_id long, url string, pair_id long, n_lines int, n_removed int, text string")
