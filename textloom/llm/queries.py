@@ -64,6 +64,13 @@ _GRAMS = _WORDS + """,
              FROM words WHERE len(w) > 0)"""
 
 
+_REPEATS = _WORDS + """,
+    texts AS (SELECT DISTINCT doc_id, w FROM words WHERE len(w) >= 50),
+    known AS (SELECT w, count(*) AS n, row_number() OVER () AS k FROM words WHERE len(w) >= 50 GROUP BY w),
+    windows AS (SELECT k, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM known, unnest(range(0, len(w) - 49)) u(s)),
+    hits AS (SELECT k, s, s - row_number() OVER (PARTITION BY k ORDER BY s) AS g FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+    stretches AS (SELECT k, min(s) AS a, max(s) + 50 AS z FROM hits GROUP BY k, g)"""
+
 
 def _filled(name: str, rows: str, group: str, key: str) -> str:
     """CTEs that give each child of rows (group, key, room, share, t) its part of the group's t: by share, but no more
@@ -117,13 +124,17 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT doc_id, doc_id, 0::BIGINT FROM documents
         WHERE doc_id IS NOT NULL AND NOT coalesce(regexp_matches(text, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]'), false)""",
+    "op5_substring_dedup": f"""
+        WITH {_REPEATS},
+        lengths AS (SELECT (50 * 2 ** i)::BIGINT AS n50 FROM range(0, 20) r(i)),
+        longer AS (SELECT k, a, z, n50, md5(array_to_string(w[s + 1:s + n50], ' ')) AS h FROM stretches JOIN known USING (k), lengths, unnest(range(a, z - n50 + 1)) u(s) WHERE z - a >= n50),
+        twice AS (SELECT n50, h FROM longer GROUP BY n50, h HAVING count(*) > 1),
+        best AS (SELECT k, a, z, max(n50) AS longest FROM longer JOIN twice USING (n50, h) GROUP BY k, a, z)
+        SELECT doc_id, 0::INT AS start_word, len(w)::INT AS end_word, len(w)::INT AS longest FROM texts JOIN known USING (w) WHERE n > 1
+        UNION ALL
+        SELECT doc_id, a::INT, z::INT, longest::INT FROM texts JOIN known USING (w) JOIN best USING (k) WHERE n = 1""",
     "op9_suffix_dedup": f"""
-        WITH {_WORDS},
-        texts AS (SELECT DISTINCT doc_id, w FROM words WHERE len(w) >= 50),
-        known AS (SELECT w, count(*) AS n, row_number() OVER () AS k FROM words WHERE len(w) >= 50 GROUP BY w),
-        windows AS (SELECT k, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM known, unnest(range(0, len(w) - 49)) u(s)),
-        hits AS (SELECT k, s, s - row_number() OVER (PARTITION BY k ORDER BY s) AS g FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
-        stretches AS (SELECT k, min(s) AS a, max(s) + 50 AS z FROM hits GROUP BY k, g)
+        WITH {_REPEATS}
         SELECT doc_id, 0::INT AS start_word, len(w)::INT AS end_word FROM texts JOIN known USING (w) WHERE n > 1
         UNION ALL
         SELECT doc_id, a::INT, z::INT FROM texts JOIN known USING (w) JOIN stretches USING (k) WHERE n = 1""",
