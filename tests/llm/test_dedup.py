@@ -1,5 +1,7 @@
 """Exact, near, substring and suffix-array dedup against brute force."""
 
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -126,6 +128,45 @@ def test_metric_join(least):
     assert set(ngram_join.metric_join(sets, least)) == expected and expected
 
 
+def test_near_beside_copies(spark):
+    """Copies of a text don't count its n-grams several times: what else it shares with others still links it."""
+    rng, rows = random.Random(3), []
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(24):
+        left, right = words(42), words(64)
+        texts = [left + words(60), *[left + right] * 5, words(34) + right]
+        rows += [(100 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    got = listed(ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == near_expected(rows, 0.4) and len(got) > 24
+
+
+def test_crowd_of_near_copies():
+    """A crowd, each member of which has n-grams of its own, is counted by what its members share, in no more than seconds."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 2**62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.85], rng.integers(1, 2**62, 200).astype(np.uint64)])) for _ in range(1500)]
+    began = time.process_time()
+    pairs = ngram_join.metric_join(sets, 0.2)
+    assert time.process_time() - began < 20 and len(pairs) > 10**6
+    some = range(0, 1500, 100)
+    expected = {(i, j) for j in some for i in some if i < j and len(np.intersect1d(sets[i], sets[j])) >= 0.2 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert {p for p in pairs if p[0] % 100 == p[1] % 100 == 0} == expected
+
+
+@pytest.mark.parametrize("least", [0.2, 0.6])
+def test_close_of_two_sides(least, monkeypatch):
+    """Sets of two tiles: each pair of a set of one with a set of the other, once; by small blocks too."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(1, 2**62, 150).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[:40] if k % 3 else pool, 30)) for k in range(200)]
+    side = rng.random(200) < 0.4
+    full = ngram_join.metric_join(sets, least)
+    for cells in (300, 1 << 21):
+        monkeypatch.setattr(ngram_join, "_CELLS", cells)
+        got = [(a, b, v) for i, j, s in ngram_join._close(sets, least, side) for a, b, v in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)]
+        assert sorted(got) == sorted((*p, v) for p, v in full.items() if side[p[0]] != side[p[1]]) and got
+
+
 def repeated(corpus, least):
     """Covered word ranges by brute force: windows that occur at two places of distinct texts, or twice in one."""
     texts = {}
