@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from textloom.llm import _text as tx
@@ -130,6 +131,28 @@ def test_neighbours_are_the_nearest(spark, docs, corpus):
     assert low > 100 and hit >= 0.9 * total
 
 
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_neighbours_under_a_crowded_key(spark, tile, monkeypatch):
+    """Of a passage that hundreds of texts have, each text's nearest ones by all pairs are found, wherever they lie."""
+    monkeypatch.setattr(packing, "TILE", tile, raising=False)
+    rng = random.Random(6)
+    base, more = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "bm")
+    rows = [(i, " ".join(rng.sample([" ".join(more[k : k + 12]) for k in range(0, 60, 12)], 2) + base + [f"t{i}x{rng.randrange(10**6)}" for _ in range(20)])) for i in range(150)]
+    signed = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(packing._digests(5), packing._SIGNED).cache()
+    sets = {r["x"]: (np.frombuffer(r["sketch"], np.uint8), set(r["keys"])) for r in signed.collect()}
+    bins = {x: np.stack([s & 15, s >> 4]) for x, (s, _) in sets.items()}
+
+    def score(a, b):
+        share = ((bins[a] == bins[b]) & (bins[a] > 0)).sum() / (bins[a] | bins[b] > 0).sum()
+        return max((share - 1 / 15) / (1 - 1 / 15), 1 / 256)
+
+    expected = []
+    for a in sets:
+        near = sorted((-score(a, b), b) for b in sets if b != a and sets[a][1] & sets[b][1])[:4]
+        expected += [(a, b, round(-s, 9)) for s, b in near]
+    assert sorted((r["x"], r["y"], round(r["score"], 9)) for r in packing.neighbours(signed, 4).collect()) == sorted(expected)
+
+
 def test_packing_divides_crowds(spark, monkeypatch):
     """A connected part, and a set, of more documents than one walk holds: every word is still in one piece."""
     monkeypatch.setattr(packing, "CROWD", 10)
