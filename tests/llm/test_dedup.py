@@ -5,6 +5,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import _text as tx
@@ -226,6 +227,51 @@ def test_collection_arrays():
             assert lcp[place[b]] == n
 
 
+def test_collection_with_weights():
+    """A symbol that counts as five gives the order of its five symbols in a row, and their common prefixes."""
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        parts = [(rng.integers(0, 3, rng.integers(0, 6)), rng.integers(0, 3, rng.integers(0, 6))) for _ in range(rng.integers(1, 9))]
+        short = [[*a, 3, *b] for a, b in parts]
+        place, lcp = suffix_dedup.collection_arrays(np.concatenate(short), np.array([len(x) for x in short]), np.array([1, 1, 1, 5]))
+        suffixes = {p: sum(([s] * (5 if s == 3 else 1) for s in x[i:]), []) for x, base in zip(short, np.cumsum([0, *map(len, short)]), strict=False) for i, p in enumerate(place[base : base + len(x)])}
+        ranks = sorted(suffixes)
+        assert [suffixes[r] for r in ranks] == sorted(suffixes.values())
+        for a, b in zip(ranks, ranks[1:], strict=False):
+            n = 0
+            while n < min(len(suffixes[a]), len(suffixes[b])) and suffixes[a][n] == suffixes[b][n]:
+                n += 1
+            assert lcp[b] == n
+
+
+@pytest.mark.parametrize(("lot", "anchors"), [(5, 60), (4096, 60), (4096, 8000)])
+def test_neighbours_in_a_partition(lot, anchors, monkeypatch):
+    """Windows that pieces of an anchor share, wherever lots and batches end; work is in proportion to the pieces."""
+    monkeypatch.setattr(suffix_dedup, "LOT", lot)
+    rng, least, k = np.random.default_rng(8), 50, 25
+    rows = []
+    for h in range(anchors):
+        base = rng.integers(1, 2**62, 75).astype(np.uint64)
+        for _ in range(rng.integers(2, 10)):
+            a, z, x = rng.integers(0, 26), rng.integers(50, 76), base.copy()
+            x[rng.choice(np.r_[:25, 50:75], rng.integers(0, 3))] = rng.integers(1, 2**62)
+            a = min(a, z - least)
+            rows.append((h - 30, len(rows), a, 25 - a, x[a:z]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    columns = zip(*((h, i, 0, a, lead, x[:lead].tobytes() + x[lead + k :].tobytes()) for h, i, a, lead, x in rows), strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc_id", "c", "start", "lead", "words"])
+    began = time.process_time()
+    found = list(suffix_dedup._neighbours(least)(batch.slice(a, 17 if anchors < 100 else 10000) for a in range(0, len(rows), 17 if anchors < 100 else 10000)))
+    assert time.process_time() - began < 8
+    seen = defaultdict(set)
+    for h, i, a, _, x in rows:
+        for j in range(len(x) - least + 1):
+            seen[h, x[j : j + least].tobytes()].add((i, a + j))
+    expected = {p for v in seen.values() if len(v) > 1 for p in v}
+    got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert sorted((i, s) for i, _, a, e in got for s in range(a, e - least + 1)) == sorted(expected) and len(expected) > anchors
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

@@ -2,7 +2,8 @@
 
 The collection's Burrows-Wheeler transform and the common prefixes of neighbouring suffixes grow by one symbol
 of every piece a round (Bauer, Cox and Rosone). Window starts are routed by their anchor, which equal windows
-share, so each partition builds the arrays of its own suffixes and no neighbour is missed.
+share, so the suffixes of an anchor, or of several, are a collection of their own and no neighbour is missed. All pieces
+of an anchor hold it, and no window begins behind it, so it is one symbol that counts as its words.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
 from textloom.llm._lean import lean
-from textloom.llm._anchors import of_content, repeated, texts_with, windows
+from textloom.llm._anchors import of_content, repeated, size_of, texts_with, windows
 from textloom.llm._tables import partitions
 
 _LOW = np.uint64(0xFFFFFFFF)
 _BLOCK = 512
+LOT = 1 << 12  # pieces of a collection, unless an anchor has more: what a round goes through stays in the processor's caches
 
 
 def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,12 +49,12 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def collection_arrays(symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def collection_arrays(symbols: np.ndarray, length: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a collection of pieces, that lie end to end in symbols.
 
     Returns (place, lcp): place[j] is, for the symbol at j, the rank of the suffix from there to its piece's end
-    among all suffixes, behind the pieces' empty suffixes; lcp[r] is the common prefix of ranks r - 1 and r.
-    Symbols are below 2**31. Round j inserts the suffix of length j + 1 of every piece that has one: its rank
+    among all suffixes, behind the pieces' empty suffixes; lcp[r] is the common prefix of ranks r - 1 and r, in which
+    symbol s counts weight[s], or 1. Symbols are below 2**31. Round j inserts the suffix of length j + 1 of every piece that has one: its rank
     follows from the rank of the suffix after it, as keys (symbol, that rank) are kept sorted; keys hold the
     transform by first symbol, and each round merges the new ones in, in one pass.
     """
@@ -81,7 +83,7 @@ def collection_arrays(symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarr
         at = at[same]
         if len(at):
             a, b = (merged[at - 1] & _LOW).astype(np.int64), (merged[at] & _LOW).astype(np.int64)
-            common[at] = 1 + _range_min(lcp, a + 1, b)
+            common[at] = _range_min(lcp, a + 1, b) + (1 if weight is None else weight[(merged[at] >> np.uint64(32)).astype(np.int64)])
         moved = np.concatenate([np.arange(m), m + np.flatnonzero(old)]).astype(np.uint64)
         keys = (merged & ~_LOW) | moved[(merged & _LOW).astype(np.int64)]
         lcp = np.concatenate([np.zeros(m, np.int32), common])
@@ -97,12 +99,14 @@ def collection_arrays(symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarr
 
 
 def _pieces(least: int):
+    k = size_of(least)[0]
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tx.pieces(batch, "text"):
                 ids, w = piece.column("doc_id").to_numpy(), tx.scan(piece.column("text"))
                 g, start, at = windows(w, least)
-                hs, ds, cs, ss, bs = [], [], [], [], []
+                hs, ds, cs, ss, ls, bs = [], [], [], [], [], []
                 bounds = np.searchsorted(start, w.first)
                 for i, c, anchors in of_content(piece, w):
                     p, q = bounds[i], bounds[i + 1]
@@ -114,43 +118,65 @@ def _pieces(least: int):
                         ds.append(ids[i])
                         cs.append(c)
                         ss.append(s[x] - w.first[i])
-                        bs.append(w.hash[s[x] : s[y - 1] + least].tobytes())
+                        ls.append(a[x] - s[x])
+                        bs.append(w.hash[s[x] : a[x]].tobytes() + w.hash[a[x] + k : s[y - 1] + least].tobytes())
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(tx.signed(np.array(hs, np.uint64))), pa.array(ds, pa.int64()), pa.array(cs, pa.int64()), pa.array(ss, pa.int32()), pa.array(bs, pa.binary())], names=["h", "doc_id", "c", "start", "words"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tx.signed(np.array(hs, np.uint64))), pa.array(ds, pa.int64()), pa.array(cs, pa.int64()), pa.array(ss, pa.int32()), pa.array(ls, pa.int32()), pa.array(bs, pa.binary())],
+                        names=["h", "doc_id", "c", "start", "lead", "words"],
+                    )
 
     return f
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows come sorted by anchor: LOT of them or more at a time, never an anchor's rows apart."""
+    held, rows, now = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, at = batch.column("h").to_numpy(), 0
+        for x in np.flatnonzero(np.append(now != h[0], h[1:] != h[:-1])).tolist():
+            if rows + x - at >= LOT:
+                yield pa.Table.from_batches([*held, batch.slice(at, x - at)])
+                held, rows, at = [], 0, x
+        held.append(batch.slice(at))
+        rows, now = rows + batch.num_rows - at, h[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _neighbours(least: int):
+    k = size_of(least)[0]
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        ids, cs, starts, which = [], [], [], []
-        for batch in batches:
-            ids.append(batch.column("doc_id").to_numpy())
-            cs.append(batch.column("c").to_numpy())
-            starts.append(batch.column("start").to_numpy())
-            which.append(np.fromiter((known.setdefault(b, len(known)) for b in batch.column("words").to_pylist()), np.int64, batch.num_rows))
-        if not known:
-            return
-        ids, cs, starts, which = (np.concatenate(x) for x in (ids, cs, starts, which))
-        length = np.fromiter((len(b) // 8 for b in known), np.int64, len(known))
-        symbols = np.unique(np.frombuffer(b"".join(known), np.uint64), return_inverse=True)[1]
-        known.clear()
-        place, lcp = collection_arrays(symbols, length)
-        shared = np.maximum(lcp, np.append(lcp[1:], 0))[place]
-        first = np.cumsum(length) - length
-        often = np.bincount(which, minlength=len(length)) > 1
-        for a in range(0, len(which), 20000):
-            out: list[tuple[int, int, int, int]] = []
-            for r in range(a, min(a + 20000, len(which))):
-                k = which[r]
-                n = length[k] - least + 1
-                ok = np.ones(n, bool) if often[k] else shared[first[k] : first[k] + n] >= least
-                for s, e in zip(*tx.runs(ok), strict=True):
-                    out.append((ids[r], cs[r], starts[r] + s, starts[r] + e - 1 + least))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "c", "start", "end"])
+        for lot in _lots(batches):
+            h, ids, cs, starts, lead = (lot.column(c).to_numpy() for c in ("h", "doc_id", "c", "start", "lead"))
+            known: dict[tuple[int, int, bytes], int] = {}
+            which = np.fromiter((known.setdefault(x, len(known)) for x in zip(h.tolist(), lead.tolist(), lot.column("words").to_pylist(), strict=True)), np.int64, len(h))
+            anchor, before, words = zip(*known, strict=True)
+            size = np.fromiter((len(b) // 8 for b in words), np.int64, len(words))
+            names, symbols = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
+            anchors, anchor = np.unique(np.array(anchor, np.int64), return_inverse=True)
+            symbols = np.insert(symbols, np.cumsum(size) - size + np.array(before, np.int64), len(names) + anchor)
+            length = size + 1
+            place, lcp = collection_arrays(symbols, length, np.repeat(np.array([1, k], np.int32), [len(names), len(anchors)]))
+            shared = np.maximum(lcp, np.append(lcp[1:], 0))[place]
+            # window starts that another place has too, and their runs in each piece; a gap behind each piece
+            first, piece = np.cumsum(length) - length, np.repeat(np.arange(len(length)), length)
+            window = np.arange(len(symbols)) - first[piece] < (length + k - least)[piece]
+            flags = np.zeros(len(symbols) + len(length), bool)
+            flags[np.arange(len(symbols)) + piece] = window & ((shared >= least) | (np.bincount(which) > 1)[piece])
+            s, e = tx.runs(flags)
+            first += np.arange(len(length))
+            of = np.searchsorted(first, s, side="right") - 1
+            runs = np.bincount(of, minlength=len(length))
+            each = runs[which]
+            row = np.repeat(np.arange(len(which)), each)
+            run = (np.cumsum(runs) - runs)[which[row]] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            base = starts[row] - first[of[run]]
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(cs[row]), pa.array((base + s[run]).astype(np.int32)), pa.array((base + e[run] - 1 + least).astype(np.int32))], names=["doc_id", "c", "start", "end"])
 
     return f
 
@@ -191,8 +217,8 @@ def suffix_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     found = repeated(docs, least)
     copies = found.where("pos < 0").select("doc_id", "c", F.lit(0).alias("start_word"), (-F.col("pos")).alias("end_word")).distinct()
-    pieces = texts_with(docs, found).mapInArrow(lean(_pieces(least)), "h long, doc_id long, c long, start int, words binary")
-    spread = pieces.repartition(partitions(docs.sparkSession), "h").drop("h")
+    pieces = texts_with(docs, found).mapInArrow(lean(_pieces(least)), "h long, doc_id long, c long, start int, lead int, words binary")
+    spread = pieces.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     rows = spread.mapInArrow(lean(_neighbours(least)), "doc_id long, c long, start int, end int")
     rows = rows.join(copies.select("doc_id", "c"), ["doc_id", "c"], "left_anti")
     parts = rows.repartition("doc_id", "c").sortWithinPartitions("doc_id", "c", "start").mapInArrow(lean(_join(least)), "doc_id long, start_word int, end_word int")
