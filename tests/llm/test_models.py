@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -53,6 +54,56 @@ def test_lm_gradient():
         assert abs(slope + grads[k][0][0][at]) < 2e-3
 
 
+def test_lm_numbers():
+    """Known words are found whatever bits they share, beyond the last one too; the others get hashed numbers."""
+    rng = np.random.default_rng(0)
+    crowd = np.uint64(7 << 60) + np.arange(5, dtype=np.uint64)
+    for known in ([], [3], [0, 2**64 - 1, 2**64 - 2], [*crowd.tolist(), 2**63], rng.integers(0, 2**64, L.KNOWN, dtype=np.uint64).tolist()):
+        known = np.unique(np.array(known, np.uint64))
+        place = rng.permutation(len(known))
+        hashes = np.concatenate([known, rng.integers(0, 2**64, 500, dtype=np.uint64), crowd, known])
+        numbers = dict(zip(known.tolist(), place.tolist(), strict=True))
+        assert L.numbers(hashes, known, place).tolist() == [numbers.get(h, L.KNOWN + h % (L.V - L.KNOWN)) for h in hashes.tolist()]
+
+
+def test_lm_work():
+    """Scores are those of the network written out word by word, in less time than by logits of a row for each word."""
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, L.V + 1)
+    p, n = L.initial(1, share * 1e6), 1 << 14
+    ctx, target = rng.choice(L.V, (2 * L.SIDE, n), p=share / share.sum()), rng.choice(L.V, n, p=share / share.sum())
+
+    def lse(x, at):
+        hit, top = x[np.arange(len(x)), at].copy(), x.max(axis=1)
+        x -= top[:, None]
+        np.exp(x, out=x)
+        return hit - top - np.log(x @ np.ones(x.shape[1], np.float32))
+
+    def rows():
+        order = np.argsort(target % L.CLASSES, kind="stable")
+        cls, member = target[order] % L.CLASSES, target[order] // L.CLASSES
+        h = np.tanh(sum(p["e"][k][ctx[k, order]] for k in range(2 * L.SIDE)) + p["b"])
+        lp, out = lse(h @ p["c"] + p["cb"], cls), np.empty(n, np.float32)
+        cut = np.searchsorted(cls, np.arange(L.CLASSES + 1))
+        for c in range(L.CLASSES):
+            z = slice(cut[c], cut[c + 1])
+            lp[z] += lse(h[z] @ p["m"][c] + p["mb"][c], member[z])
+        out[order] = lp
+        return out
+
+    def least(f):
+        times = []
+        for _ in range(15):
+            began = time.perf_counter()
+            out = f()
+            times.append(time.perf_counter() - began)
+        return min(times), out
+
+    (new, got), (old, expected) = least(lambda: L.log_probs(p, ctx, target)), least(rows)
+    np.testing.assert_allclose(got, expected, rtol=1e-4, atol=1e-4)
+    assert new < 0.95 * old
+
+
 def test_lm_scores(spark, docs, corpus, nothing):
     got = L.scores(docs).collect()
     assert len(got) == len(corpus)

@@ -33,6 +33,8 @@ DIM = 32
 _SHAPES = {"e": (2 * SIDE, V + 1, DIM), "b": (DIM,), "c": (DIM, CLASSES), "cb": (CLASSES,), "m": (CLASSES, DIM, MEMBERS), "mb": (CLASSES, MEMBERS)}
 _BATCH = 1 << 13  # words of a step
 _SLICE = 1 << 15
+_BITS = 13  # by which known words are looked up
+_SHIFT = np.uint64(64 - _BITS)
 _CHUNK = 1 << 20  # words without a number of their own that a task holds
 _PARTIAL = "chunk string, bucket int, doc_id array<long>, n array<long>, total array<double>, doc binary, code binary, words binary, counts binary"
 _KINDS = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), *[pa.binary()] * 4)
@@ -65,11 +67,16 @@ def unflat(x: np.ndarray) -> Params:
 
 def numbers(hashes: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Word numbers: place[i] for known[i] (sorted hashes), a hashed one of the upper half for the others."""
-    rest = KNOWN + (hashes % np.uint64(V - KNOWN)).astype(np.int64)
+    out = KNOWN + (hashes % np.uint64(V - KNOWN)).astype(np.int64)
     if not len(known):
-        return rest
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, place[at], rest)
+        return out
+    # known ones by their first bits; the few that have them in common with others come in further turns
+    first = np.searchsorted(known >> _SHIFT, np.arange((1 << _BITS) + 1, dtype=np.uint64))
+    at = first.take((hashes >> _SHIFT).astype(np.int64))
+    for turn in range(int(np.diff(first).max())):
+        hit = np.flatnonzero(known.take(at + turn, mode="clip") == hashes)
+        out[hit] = place.take(at[hit] + turn, mode="clip")
+    return out
 
 
 def contexts(ids: np.ndarray, w: tx.Words, at: np.ndarray) -> np.ndarray:
@@ -84,19 +91,20 @@ def contexts(ids: np.ndarray, w: tx.Words, at: np.ndarray) -> np.ndarray:
 
 
 def _hidden(p: Params, ctx: np.ndarray) -> np.ndarray:
-    h = p["e"][0][ctx[0]] + p["b"]
-    for k in range(1, len(ctx)):
-        h += p["e"][k][ctx[k]]
-    return np.tanh(h)
+    h = p["e"][0].take(ctx[0], axis=0, mode="clip")
+    h += p["b"]
+    for e, at in zip(p["e"][1:], ctx[1:], strict=True):
+        h += e.take(at, axis=0, mode="clip")
+    return np.tanh(h, out=h)
 
 
 def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of the target, probabilities), rows of x; x is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    hit = x[np.arange(len(x)), target].copy()
+    """(log-probability of the target, probabilities), columns of x, so that maxima are taken of whole rows; x is overwritten."""
+    x -= x.max(axis=0)
+    hit = x[target, np.arange(len(target))]
     np.exp(x, out=x)
-    z = x @ _ones(x.shape[1])
-    x *= (1 / z)[:, None]
+    z = _ones(len(x)) @ x
+    x *= 1 / z
     return hit - np.log(z), x
 
 
@@ -104,25 +112,24 @@ def log_probs(p: Params, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target between its neighbours."""
     out = np.empty(len(target), np.float32)
     for a in range(0, len(target), 1 << 14):
-        order = a + np.argsort(target[a : a + (1 << 14)] % CLASSES, kind="stable")
+        order = a + np.argsort((target[a : a + (1 << 14)] % CLASSES).astype(np.int16), kind="stable")
         t = target[order]
         h = _hidden(p, ctx[:, order])
         cls, member = t % CLASSES, t // CLASSES
-        lp = _lse(h @ p["c"] + p["cb"], cls)
+        lp = _lse(p["c"].T @ h.T + p["cb"][:, None], cls)
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             z = slice(cuts[c], cuts[c + 1])
-            lp[z] += _lse(h[z] @ p["m"][c] + p["mb"][c], member[z])
+            lp[z] += _lse(p["m"][c].T @ h[z].T + p["mb"][c][:, None], member[z])
         out[order] = lp
     return out
 
 
 def _lse(x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    hit = x[np.arange(len(x)), target].copy()
-    top = x.max(axis=1)
-    x -= top[:, None]
+    x -= x.max(axis=0)
+    hit = x[target, np.arange(len(target))]
     np.exp(x, out=x)
-    return hit - top - np.log(x @ _ones(x.shape[1]))
+    return hit - np.log(_ones(len(x)) @ x)
 
 
 def _ones(n: int) -> np.ndarray:
@@ -141,35 +148,35 @@ class Adagrad:
     def step(self, ctx: np.ndarray, target: np.ndarray) -> float:
         """One step on a batch; returns the mean log-probability before it."""
         p, n = self.p, len(target)
-        order = np.argsort(target % CLASSES, kind="stable")  # words of a class lie together
+        order = np.argsort((target % CLASSES).astype(np.int16), kind="stable")  # words of a class lie together
         ctx, target = ctx[:, order], target[order]
         cls, member = target % CLASSES, target // CLASSES
         h = _hidden(p, ctx)
-        lp, q = _softmax(h @ p["c"] + p["cb"], cls)
+        lp, q = _softmax(p["c"].T @ h.T + p["cb"][:, None], cls)
         total = float(lp.sum())
-        q[np.arange(n), cls] -= 1
+        q[cls, np.arange(n)] -= 1
         q /= n
-        dh = q @ p["c"].T
-        self.dense("c", h.T @ q)
-        self.dense("cb", q.sum(axis=0))
+        dh = q.T @ p["c"].T
+        self.dense("c", h.T @ q.T)
+        self.dense("cb", q.sum(axis=1))
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             z = slice(cuts[c], cuts[c + 1])
-            lp, q = _softmax(h[z] @ p["m"][c] + p["mb"][c], member[z])
+            lp, q = _softmax(p["m"][c].T @ h[z].T + p["mb"][c][:, None], member[z])
             total += float(lp.sum())
-            q[np.arange(len(q)), member[z]] -= 1
+            q[member[z], np.arange(q.shape[1])] -= 1
             q /= n
-            dh[z] += q @ p["m"][c].T
-            self.dense("m", h[z].T @ q, c)
-            self.dense("mb", q.sum(axis=0), c)
+            dh[z] += q.T @ p["m"][c].T
+            self.dense("m", h[z].T @ q.T, c)
+            self.dense("mb", q.sum(axis=1), c)
         dh *= 1 - h * h
         self.dense("b", dh.sum(axis=0))
-        each, rows = np.arange(DIM), dh.ravel().astype(np.float64)
-        at = np.empty((n, DIM), np.int64)
+        columns = np.ascontiguousarray(dh.T, np.float64)
+        grad = np.empty((DIM, V + 1))
         for k in range(len(ctx)):
-            np.add(ctx[k][:, None] * DIM, each, out=at)
-            grad = np.bincount(at.ravel(), weights=rows, minlength=(V + 1) * DIM)
-            self.dense("e", grad.reshape(V + 1, DIM).astype(np.float32), k)
+            for d in range(DIM):  # a dimension's sums lie in the first cache
+                grad[d] = np.bincount(ctx[k], weights=columns[d], minlength=V + 1)
+            self.dense("e", grad.T.astype(np.float32, order="C"), k)
         return total / n
 
 
