@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import _text as tx
@@ -153,6 +154,30 @@ def test_neighbours_under_a_crowded_key(spark, tile, monkeypatch):
     assert sorted((r["x"], r["y"], round(r["score"], 9)) for r in packing.neighbours(signed, 4).collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_a_task_sends_the_nearest(most, monkeypatch):
+    """Sets that meet under several keys of a task send each edge once and k of each set, which are the nearest of all."""
+    monkeypatch.setattr(packing, "_EDGES", most, raising=False)
+    rng, k = np.random.default_rng(3), 4
+    base = rng.integers(0, 256, (30, packing.BINS // 2)).astype(np.uint8)
+    base[:, :100] = base[0, :100]
+    rows = sorted((g, x) for x in range(30) for g in rng.choice(12, 6, replace=False).tolist())
+    zero = pa.array([0] * len(rows), pa.int32())
+    columns = [pa.array([r[0] for r in rows], pa.int64()), zero, zero, zero, pa.array([r[1] for r in rows], pa.int64()), pa.array([base[r[1]].tobytes() for r in rows], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["g", "t", "u", "tile", "x", "sketch"])
+    sent = [tuple(r.values()) for b in packing._index(k)(iter([batch.slice(0, 50), batch.slice(50)])) for r in b.to_pylist()]
+    keys, every = defaultdict(set), packing.planes(base)
+    for g, x in rows:
+        keys[x].add(g)
+    expected = []
+    for x in keys:
+        near = sorted((-float(packing._alike(every[x], every[y])), y) for y in keys if y != x and keys[x] & keys[y])[:k]
+        expected += [(x, y, -s) for s, y in near]
+    assert set(expected) <= set(sent)
+    if most > 1000:
+        assert sorted(sent) == sorted(expected)
+
+
 def test_packing_divides_crowds(spark, monkeypatch):
     """A connected part, and a set, of more documents than one walk holds: every word is still in one piece."""
     monkeypatch.setattr(packing, "CROWD", 10)
