@@ -104,6 +104,71 @@ def test_lm_work():
     assert new < 0.95 * old
 
 
+def test_lm_step():
+    """A step is that of the network written out class by class and dimension by dimension, in less time."""
+    rng = np.random.default_rng(6)
+    share = 1 / (50 + np.arange(L.V))
+    n, often = 1 << 13, share * 1e6
+    ctx, target = rng.choice(L.V, (2 * L.SIDE, n), p=share / share.sum()), rng.choice(L.V - 64, n, p=share[:-64] / share[:-64].sum())
+    ctx[0, :100] = L.PAD
+    target[target % L.CLASSES == 7] = 8  # a class without words
+
+    class Plain(L.Adagrad):
+        def dense(self, k, grad, at=slice(None)):
+            self.s[k][at] += grad * grad
+            self.p[k][at] -= self.rate * grad / np.sqrt(self.s[k][at])
+
+        def softmax(self, x, at):
+            x -= x.max(axis=0)
+            hit = x[at, np.arange(len(at))]
+            np.exp(x, out=x)
+            z = np.ones(len(x), np.float32) @ x
+            x *= 1 / z
+            x[at, np.arange(len(at))] -= 1
+            x /= self.n
+            return (hit - np.log(z)).sum(dtype=float), x
+
+        def step(self, ctx, target):
+            self.n = len(target)
+            p, order = self.p, np.argsort((target % L.CLASSES).astype(np.int16), kind="stable")
+            ctx, cls, member = ctx[:, order], target[order] % L.CLASSES, target[order] // L.CLASSES
+            h = np.tanh(sum(p["e"][k].take(ctx[k], axis=0) for k in range(2 * L.SIDE)) + p["b"])
+            total, q = self.softmax(p["c"].T @ h.T + p["cb"][:, None], cls)
+            dh = q.T @ p["c"].T
+            self.dense("c", h.T @ q.T)
+            self.dense("cb", q.sum(axis=1))
+            cut = np.searchsorted(cls, np.arange(L.CLASSES + 1))
+            for c in np.flatnonzero(np.diff(cut)):
+                z = slice(cut[c], cut[c + 1])
+                more, q = self.softmax(p["m"][c].T @ h[z].T + p["mb"][c][:, None], member[z])
+                total += more
+                dh[z] += q.T @ p["m"][c].T
+                self.dense("m", h[z].T @ q.T, c)
+                self.dense("mb", q.sum(axis=1), c)
+            dh *= 1 - h * h
+            self.dense("b", dh.sum(axis=0))
+            columns, grad = np.ascontiguousarray(dh.T, np.float64), np.empty((L.DIM, L.V + 1))
+            for k in range(2 * L.SIDE):
+                for d in range(L.DIM):
+                    grad[d] = np.bincount(ctx[k], weights=columns[d], minlength=L.V + 1)
+                self.dense("e", grad.T.astype(np.float32, order="C"), k)
+            return total / self.n
+
+    nets, least = [L.Adagrad(L.initial(1, often), 0.15), Plain(L.initial(1, often), 0.15)], [9.0, 9.0]
+    for size in (n, 1, 3, *[n] * 20):  # in turns, so that both have the same machine
+        got = []
+        for i, net in enumerate(nets):
+            began = time.perf_counter()
+            got.append(net.step(ctx[:, :size], target[:size]))
+            if size == n:
+                least[i] = min(least[i], time.perf_counter() - began)
+        np.testing.assert_allclose(*got, rtol=1e-5)
+    for k in nets[0].p:
+        np.testing.assert_allclose(nets[0].p[k], nets[1].p[k], atol=2e-5, err_msg=k)
+        np.testing.assert_allclose(nets[0].s[k], nets[1].s[k], rtol=1e-3, err_msg=k)
+    assert least[0] < 0.8 * least[1]
+
+
 def test_lm_scores(spark, docs, corpus, nothing):
     got = L.scores(docs).collect()
     assert len(got) == len(corpus)

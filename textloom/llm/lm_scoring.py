@@ -98,29 +98,61 @@ def _hidden(p: Params, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """h and a last column of ones, by which biases are weights like others."""
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.matmul(a, b, out=_matrix(len(a), b.shape[1]))
+
+
+def _matrix(rows: int, n: int) -> np.ndarray:
+    """Rows that lie a little apart, as those whose distance is a power of two drive one another out of the caches."""
+    return np.empty((rows, n + 16), np.float32)[:, :n]
+
+
+def _biased(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of the words in each, with the biases as a last row."""
+    return np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["m"], p["mb"][:, None]], axis=1)
+
+
+def _members(m: np.ndarray, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(logits of the words within the class of each column, which are sorted by class; the columns of each class)."""
+    cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    spans = [(c, slice(a, z)) for c, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+    x = _matrix(MEMBERS, len(h))
+    for c, z in spans:
+        np.matmul(m[c].T, h[z].T, out=x[:, z])
+    return x, spans
+
+
 def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of the target, probabilities), columns of x, so that maxima are taken of whole rows; x is overwritten."""
+    """(log-probability of the target, what its mean over the columns takes from each logit's gradient), columns of x,
+    so that maxima are taken of whole rows; x is overwritten."""
+    n, at = len(target), np.arange(len(target))
     x -= x.max(axis=0)
-    hit = x[target, np.arange(len(target))]
+    hit = x[target, at]
     np.exp(x, out=x)
     z = _ones(len(x)) @ x
-    x *= 1 / z
+    x *= np.float32(1 / n) / z
+    x[target, at] -= np.float32(1 / n)
     return hit - np.log(z), x
 
 
 def log_probs(p: Params, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target between its neighbours."""
     out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), 1 << 14):
-        order = a + np.argsort((target[a : a + (1 << 14)] % CLASSES).astype(np.int16), kind="stable")
+    classes, words = _biased(p)
+    for a in range(0, len(target), _BATCH):
+        order = a + np.argsort((target[a : a + _BATCH] % CLASSES).astype(np.int16), kind="stable")
         t = target[order]
-        h = _hidden(p, ctx[:, order])
         cls, member = t % CLASSES, t // CLASSES
-        lp = _lse(p["c"].T @ h.T + p["cb"][:, None], cls)
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            z = slice(cuts[c], cuts[c + 1])
-            lp[z] += _lse(p["m"][c].T @ h[z].T + p["mb"][c][:, None], member[z])
+        h = _with_ones(_hidden(p, ctx[:, order]))
+        lp = _lse(_product(classes.T, h.T), cls)
+        lp += _lse(_members(words, h, cls)[0], member)
         out[order] = lp
     return out
 
@@ -142,8 +174,13 @@ class Adagrad:
         self.s = {k: np.full(v.shape, 1e-4, np.float32) for k, v in p.items()}
 
     def dense(self, k: str, grad: np.ndarray, at=slice(None)) -> None:
-        self.s[k][at] += grad * grad
-        self.p[k][at] -= self.rate * grad / np.sqrt(self.s[k][at])
+        p, s = self.p[k][at], self.s[k][at]
+        by = grad * grad
+        s += by
+        np.sqrt(s, out=by)
+        np.divide(grad, by, out=by)
+        by *= self.rate
+        p -= by
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> float:
         """One step on a batch; returns the mean log-probability before it."""
@@ -151,32 +188,33 @@ class Adagrad:
         order = np.argsort((target % CLASSES).astype(np.int16), kind="stable")  # words of a class lie together
         ctx, target = ctx[:, order], target[order]
         cls, member = target % CLASSES, target // CLASSES
+        classes, words = _biased(p)
         h = _hidden(p, ctx)
-        lp, q = _softmax(p["c"].T @ h.T + p["cb"][:, None], cls)
+        h1 = _with_ones(h)
+        lp, q = _softmax(_product(classes.T, h1.T), cls)
         total = float(lp.sum())
-        q[cls, np.arange(n)] -= 1
-        q /= n
         dh = q.T @ p["c"].T
-        self.dense("c", h.T @ q.T)
-        self.dense("cb", q.sum(axis=1))
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            z = slice(cuts[c], cuts[c + 1])
-            lp, q = _softmax(p["m"][c].T @ h[z].T + p["mb"][c][:, None], member[z])
-            total += float(lp.sum())
-            q[member[z], np.arange(q.shape[1])] -= 1
-            q /= n
-            dh[z] += q.T @ p["m"][c].T
-            self.dense("m", h[z].T @ q.T, c)
-            self.dense("mb", q.sum(axis=1), c)
+        grad = (q @ h1).T
+        self.dense("c", grad[:-1])
+        self.dense("cb", grad[-1])
+        x, spans = _members(words, h1, cls)  # all classes' words in one array, so that one softmax and one update do
+        lp, q = _softmax(x, member)
+        total += float(lp.sum())
+        grad, part = np.zeros((CLASSES, MEMBERS, DIM + 1), np.float32), np.empty_like(dh)
+        for c, z in spans:
+            np.matmul(q[:, z].T, p["m"][c].T, out=part[z])
+            np.matmul(q[:, z], h1[z], out=grad[c])
+        dh += part
+        self.dense("m", np.ascontiguousarray(grad[:, :, :-1].transpose(0, 2, 1)))
+        self.dense("mb", grad[:, :, -1])
         dh *= 1 - h * h
         self.dense("b", dh.sum(axis=0))
-        columns = np.ascontiguousarray(dh.T, np.float64)
-        grad = np.empty((DIM, V + 1))
+        pairs = np.ascontiguousarray(dh.view(np.complex64).T)  # two dimensions are summed at once
         for k in range(len(ctx)):
-            for d in range(DIM):  # a dimension's sums lie in the first cache
-                grad[d] = np.bincount(ctx[k], weights=columns[d], minlength=V + 1)
-            self.dense("e", grad.T.astype(np.float32, order="C"), k)
+            grad = np.zeros((DIM // 2, V + 1), np.complex64)
+            for sums, values in zip(grad, pairs, strict=True):  # they lie in the first cache
+                np.add.at(sums, ctx[k], values)
+            self.dense("e", np.ascontiguousarray(grad.T).view(np.float32), k)
         return total / n
 
 
