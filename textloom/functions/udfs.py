@@ -52,7 +52,8 @@ expand = scanner(templates.expand_templates)
 evaluate = scanner(templates.evaluate)
 magic = scanner(lambda text, title: templates.magic(text, title or ""))
 citation = scanner(scan.citation)
-elements = scanner(_elements, ELEMENTS, _ELEMENT)
+#: Evaluated once: what explode() asks of its lists would else be filtered below the exchange that spreads the texts, by a parse of its own.
+elements = scanner(_elements, ELEMENTS, _ELEMENT, once=True)
 prepared = scanner(article.prepared)
 template_content = scanner(lambda c: scan._content(scan._split(c)))
 

@@ -259,16 +259,23 @@ ARTICLE = (
 )
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows over all cores, for scanners, where the table is one small file; a table of many files lies so already."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
+#: Bytes of a table's files that a task's scanner is given: some 50,000 short rows, seconds of work.
+TASK_BYTES = 1 << 20
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, tables: str, key: str, columns: tuple[str, ...], *made: str) -> DataFrame:
+    """Rows with their key and what scanners read, made of columns of the tables. Texts are costly to scan and short in
+    the files, which lie in few pieces, so that narrow rows are exchanged by key before the texts are made: over all
+    cores at least, and over more tasks as the files of the table `name` grow."""
+    size = table(spark, sf_dir, name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return sourced(spark, sf_dir, tables, key, *columns).repartition(tasks, key).selectExpr(key, *made)
 
 
 def synthesized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, title, text): an article for each customer, spread over all cores: the table is one small file."""
-    rows = sourced(spark, sf_dir, CUSTOMERS, "c_custkey", "c_name AS title", f"{ARTICLE} AS text")
-    return spread(rows, "c_custkey")
+    """(c_custkey, title, text): an article for each customer."""
+    columns = ("c_name", "n_name", "c_mktsegment", "r_name")
+    return spread(spark, sf_dir, "customer", CUSTOMERS, "c_custkey", columns, "c_name AS title", f"{ARTICLE} AS text")
 
 
 BODY = f"c_name || ' is in ' || c_mktsegment || '.' || {NL} || {NL} || '==Account==' || {NL} || {NL} || 'Balance 100 °C (212 °F).' || {NL} || {NL} || '===' || c_mktsegment || '===' || {NL} || {NL} || 'More.'"
@@ -301,7 +308,8 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, repeat(chr(39), 3) || c_name || repeat(chr(39), 3) || ' is in [[' || n_name || '|' || c_mktsegment || ']].[ref]r[/ref]' AS summary FROM {CUSTOMERS}")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesized(spark, sf_dir).select("c_custkey", A.summary(U.elements(F.col("text"))).alias("summary"))
+    rows = synthesized(spark, sf_dir).withColumn("elements", U.elements(F.col("text")))
+    return rows.select("c_custkey", A.summary().alias("summary"))
 
 
 @query("SELECT name, sum(n)::BIGINT AS count FROM (SELECT 'Account' AS name, count(*) AS n FROM customer UNION ALL SELECT c_mktsegment, count(*) FROM customer GROUP BY 1) GROUP BY name ORDER BY count DESC, name LIMIT 50")
@@ -336,9 +344,13 @@ def section_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECTIONED = "concat('Lead ', o_orderkey, '\\n== Childhood ==\\nBorn ', o_orderstatus, '\\n=== Deep ===\\nMore\\n== Career ==\\nWork ', o_orderpriority, '\\n== Notes ==\\nn')"
 
 
+def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, "orders", "orders", "o_orderkey", ("o_orderstatus", "o_orderpriority"), f"{SECTIONED} AS text")
+
+
 def _sections(name: str, options: Options, expected: dict[str, str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spread(sourced(spark, sf_dir, "orders", "o_orderkey", f"{SECTIONED} AS text"), "o_orderkey").withColumn("s", U.sections(F.col("text"), options))
+        rows = sectioned(spark, sf_dir).withColumn("s", U.sections(F.col("text"), options))
         return rows.select("o_orderkey", *[F.col("s")[t].alias(f"s{i}") for i, t in enumerate(options.sections)])
 
     QUERIES[name] = run
@@ -648,7 +660,8 @@ def bz2_split_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a folder of several bzip2 parts, which are read in parallel."""
     xml = "concat('<page><title>', c_name, '</title><id>', c_custkey, '</id><revision><text>Balance of ', c_custkey, '</text></revision></page>') AS value"
     path = scratch.place(spark)
-    spread(sourced(spark, sf_dir, "customer", xml)).write.option("compression", "bzip2").text(f"{path}/dump.xml.bz2")
+    rows = spread(spark, sf_dir, "customer", "customer", "c_custkey", ("c_name",), xml)
+    rows.select("value").write.option("compression", "bzip2").text(f"{path}/dump.xml.bz2")
     return dumps.pages(spark, f"{path}/dump.xml.bz2").select("page_id", "title", "text")
 
 
@@ -724,8 +737,7 @@ def sections_alias_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.place(spark)
     dumps.write_bytes(path, b"# names of sections\nYouth and origins:\n  - Childhood\n  - 'Upbringing'\nWork: [Career, Jobs]\n")
     options = Options(sections=("Youth and origins",), aliases=settings.aliases(path.removeprefix("file:")))
-    rows = spread(sourced(spark, sf_dir, "orders", "o_orderkey", f"{SECTIONED} AS text"), "o_orderkey")
-    return rows.select("o_orderkey", U.sections(F.col("text"), options)["Youth and origins"].alias("result"))
+    return sectioned(spark, sf_dir).select("o_orderkey", U.sections(F.col("text"), options)["Youth and origins"].alias("result"))
 
 
 @query(f"SELECT n_name AS title, r_name AS category FROM {NATIONS}")

@@ -37,7 +37,7 @@ def run_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 def running_section_counts(pages: DataFrame) -> DataFrame:
     """Counts of headings so far; for output mode complete. Its state is one row for each heading name."""
-    found = pages.select(F.explode(articles.headings(U.elements(F.col("text")))).alias("h"))
+    found = pages.select(U.elements(F.col("text")).alias("elements")).select(F.explode(articles.headings()).alias("h"))
     return found.groupBy(F.col("h.name").alias("name")).agg(F.count("*").alias("count"))
 
 
