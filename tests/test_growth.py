@@ -52,3 +52,10 @@ def steps(f, *args):
     finally:
         sys.setprofile(None)
     return n
+
+
+def test_element_lists():
+    assert U.element_lists([]).to_pylist() == []
+    assert U.element_lists([None, [], [("a", "t", None), ("b", "u", 2)], None]).to_pylist() == [
+        None, [], [{"pos": 0, "type": "a", "text": "t", "level": None}, {"pos": 1, "type": "b", "text": "u", "level": 2}], None
+    ]

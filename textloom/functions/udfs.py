@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -15,28 +17,36 @@ ELEMENTS = "array<struct<pos:int,type:string,text:string,level:int>>"
 _ELEMENT = pa.list_(pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("level", pa.int32())]))
 
 
-def scanner(f: Callable, kind: str = "string", arrow: pa.DataType | None = None, once: bool = False) -> Callable[..., Column]:
-    """A column function of f, which sees one text, or several, at a time; null in, null out. With `once`, filters on
-    the result stay above it: the optimizer would evaluate it again for a filter pushed below a projection."""
-    arrow = arrow or pa.string()
+def scanner(f: Callable, kind: str = "string", made: Callable[[list], pa.Array] | None = None, once: bool = False) -> Callable[..., Column]:
+    """A column function of f, which sees one text, or several, at a time; null in, null out. `made` makes an array of
+    results. With `once`, filters on the result stay above it: the optimizer would evaluate it again for a filter
+    pushed below a projection."""
+    made = made or partial(pa.array, type=pa.string())
 
     def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for columns in batches:
-            yield pa.array([None if row[0] is None else f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], arrow)
+        for batch in batches:
+            yield made([None if row[0] is None else f(*row) for row in zip(*(c.to_pylist() for c in batch), strict=True)])
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            yield pa.array([None if x is None else f(x) for x in column.to_pylist()], arrow)
+        for batch in batches:
+            yield made([None if x is None else f(x) for x in batch.to_pylist()])
 
     def column(*c: Column) -> Column:
-        made = arrow_udf(one if len(c) == 1 else many, kind)
-        return (made.asNondeterministic() if once else made)(*c)
+        function = arrow_udf(one if len(c) == 1 else many, kind)
+        return (function.asNondeterministic() if once else function)(*c)
 
     return column
 
 
-def _elements(text: str) -> list[dict]:
-    return [{"pos": i, "type": k, "text": t, "level": v} for i, (k, t, v) in enumerate(article.parse(text))]
+def element_lists(articles: list[list[tuple[str, str, int | None]] | None]) -> pa.Array:
+    """The elements of article.parse as an array of ELEMENTS, column by column."""
+    rows = [e for a in articles for e in a or ()]
+    ends = list(accumulate((len(a or ()) for a in articles), initial=0))
+    kinds, texts, levels = zip(*rows, strict=True) if rows else ((), (), ())
+    at = pa.array([i for a in articles for i in range(len(a or ()))], pa.int32())
+    fields = [at, pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(levels, pa.int32())]
+    empty = pa.array([a is None for a in articles], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_ELEMENT.value_type)), type=_ELEMENT, mask=empty)
 
 
 entities = scanner(scan.entities)
@@ -53,7 +63,7 @@ evaluate = scanner(templates.evaluate)
 magic = scanner(lambda text, title: templates.magic(text, title or ""))
 citation = scanner(scan.citation)
 #: Evaluated once: what explode() asks of its lists would else be filtered below the exchange that spreads the texts, by a parse of its own.
-elements = scanner(_elements, ELEMENTS, _ELEMENT, once=True)
+elements = scanner(article.parse, ELEMENTS, element_lists, once=True)
 prepared = scanner(article.prepared)
 template_content = scanner(lambda c: scan._content(scan._split(c)))
 
@@ -77,7 +87,7 @@ def sections(text: Column, options: article.Options) -> Column:
         found, _ = article.sections(article.parse(t), options)
         return [(k, None if v is None else scan.cleaned(article.plain(v, options))) for k, v in found.items()]
 
-    return scanner(f, "map<string,string>", pa.map_(pa.string(), pa.string()))(text)
+    return scanner(f, "map<string,string>", partial(pa.array, type=pa.map_(pa.string(), pa.string())))(text)
 
 
 @udtf(returnType="pos: int, type: string, text: string, level: int")
@@ -86,8 +96,8 @@ class ParseWikitext:
 
     def eval(self, text: str):
         if text is not None:
-            for e in _elements(text):
-                yield e["pos"], e["type"], e["text"], e["level"]
+            for pos, (kind, shown, level) in enumerate(article.parse(text)):
+                yield pos, kind, shown, level
 
 
 def register(spark: SparkSession) -> None:
