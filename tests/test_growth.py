@@ -54,6 +54,19 @@ def steps(f, *args):
     return n
 
 
+def test_a_table_is_marked_in_few_steps():
+    text = "a{|\n|17{|\n|x\n|}\n|}N"
+    assert scan.marks_shown(scan.mark(text, scan.MARKERS)) == "a[TABLE]N"
+    assert steps(lambda: scan.marks_shown(scan.mark(text, scan.MARKERS))) < 60
+
+
+def test_covered_is_nested():
+    pick = random.Random(1)
+    for _ in range(3000):
+        text = "".join(pick.choice(["{|", "|}", "{", "|", "}", "a", "\n"]) for _ in range(pick.randint(0, 14)))
+        assert scan.covered(text, "{|", "|}", "«x»") == scan.nested(text, "{|", "|}", lambda _: "«x»"), text
+
+
 def test_element_lists():
     assert U.element_lists([]).to_pylist() == []
     assert U.element_lists([None, [], [("a", "t", None), ("b", "u", 2)], None]).to_pylist() == [
