@@ -67,6 +67,19 @@ def test_covered_is_nested():
         assert scan.covered(text, "{|", "|}", "«x»") == scan.nested(text, "{|", "|}", lambda _: "«x»"), text
 
 
+def test_tame_texts_are_those_without_a_step():
+    def full(text):
+        for pattern, by in scan._STEPS:
+            text = pattern.sub(by, text)
+        return text.strip() + "\n\n"
+
+    pick = random.Random(2)
+    parts = ["a", " ", "  ", "\t", "\n", "\n \n", "br", "Clear", "GND", "commons", "Wikimedia", "Commons", "cat", "notelist2", "DEFAULTSORT", "school", "(", ")", "|", "*", ":", "=", "x1"]
+    for _ in range(3000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 7)))
+        assert scan.cleaned(text) == full(text), text
+
+
 def test_element_lists():
     assert U.element_lists([]).to_pylist() == []
     assert U.element_lists([None, [], [("a", "t", None), ("b", "u", 2)], None]).to_pylist() == [
