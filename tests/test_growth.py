@@ -67,6 +67,13 @@ def test_covered_is_nested():
         assert scan.covered(text, "{|", "|}", "«x»") == scan.nested(text, "{|", "|}", lambda _: "«x»"), text
 
 
+def test_sections_of_a_page_in_few_steps():
+    text, o = "Lead\n== Childhood ==\nBorn\n=== Deep ===\nMore\n== Career ==\nWork\n== Notes ==\nn", Options(sections=("summary", "Career", "references"))
+    run = lambda: {k: scan.cleaned(article.plain(v, o)) for k, v in article.sections(article.parse(text), o)[0].items()}
+    assert run() == {"summary": "Lead\n\n", "Career": "Work\n\n", "references": "n\n\n"}
+    assert steps(run) < 400
+
+
 def test_tame_texts_are_those_without_a_step():
     def full(text):
         for pattern, by in scan._STEPS:
@@ -80,6 +87,11 @@ def test_tame_texts_are_those_without_a_step():
         assert scan.cleaned(text) == full(text), text
 
 
+def test_targets_by_name_before_alias():
+    o = Options(sections=("Early life", "Childhood", "notes", "CAREER", ""))
+    assert [article.wanted(h, o) for h in ("childhood", "Early years", "References", "Notes ", "career", "professional career", "", "x")] == ["Childhood", "Early life", "notes", "notes", "CAREER", "CAREER", None, None]
+
+
 def test_element_lists():
     assert U.element_lists([]).to_pylist() == []
     assert U.element_lists([None, [], [("a", "t", None), ("b", "u", 2)], None]).to_pylist() == [
