@@ -92,6 +92,25 @@ def test_targets_by_name_before_alias():
     assert [article.wanted(h, o) for h in ("childhood", "Early years", "References", "Notes ", "career", "professional career", "", "x")] == ["Childhood", "Early life", "notes", "notes", "CAREER", "CAREER", None, None]
 
 
+@pytest.mark.parametrize("columns", [1, 2])
+def test_batches_are_scanned_by_slices(monkeypatch, columns):
+    """What is decoded and put out at a time is bounded by bytes, not by a batch's rows."""
+    made = []
+    monkeypatch.setattr(U, "arrow_udf", lambda f, kind: made.append(f) or (lambda *c: None))
+    U.scanner(lambda *x: x[0].replace("&", "and"))(*range(columns))
+    texts = [None if i % 7 == 0 else f"{i}&" + "x" * 4000 for i in range(2000)]
+    batch = [pa.array(texts)] * columns
+    out = list(made[0](iter([batch[0] if columns == 1 else tuple(batch), pa.array([], pa.string()) if columns == 1 else (pa.array([], pa.string()),) * 2])))
+    assert max(a.nbytes for a in out) < 1 << 21
+    assert [x for a in out for x in a.to_pylist()] == [None if t is None else t.replace("&", "and") for t in texts]
+
+
+def test_slices_through_spark(spark):
+    rows = spark.range(700).selectExpr("id", "CASE WHEN id % 5 <> 0 THEN concat(id, '&amp;', repeat('y', 9000)) END AS t").coalesce(1)
+    got = rows.select("id", U.entities(rows["t"]).alias("r")).collect()
+    assert all(r["r"] == (None if r["id"] % 5 == 0 else f"{r['id']}&" + "y" * 9000) for r in got) and len(got) == 700
+
+
 def test_element_lists():
     assert U.element_lists([]).to_pylist() == []
     assert U.element_lists([None, [], [("a", "t", None), ("b", "u", 2)], None]).to_pylist() == [

@@ -17,6 +17,18 @@ ELEMENTS = "array<struct<pos:int,type:string,text:string,level:int>>"
 _ELEMENT = pa.list_(pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("level", pa.int32())]))
 
 
+#: Bytes of input that are decoded, scanned and put out at a time.
+SLICE = 1 << 20
+
+
+def sliced(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch by slices of about SLICE bytes, so that memory is bounded by these, whatever rows a batch has."""
+    rows = len(columns[0])
+    step = max(1, rows * SLICE // max(1, sum(c.nbytes for c in columns)))
+    for at in range(0, rows, step):
+        yield tuple(c.slice(at, step) for c in columns)
+
+
 def scanner(f: Callable, kind: str = "string", made: Callable[[list], pa.Array] | None = None, once: bool = False) -> Callable[..., Column]:
     """A column function of f, which sees one text, or several, at a time; null in, null out. `made` makes an array of
     results. With `once`, filters on the result stay above it: the optimizer would evaluate it again for a filter
@@ -25,11 +37,13 @@ def scanner(f: Callable, kind: str = "string", made: Callable[[list], pa.Array]
 
     def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield made([None if row[0] is None else f(*row) for row in zip(*(c.to_pylist() for c in batch), strict=True)])
+            for columns in sliced(batch) if len(batch[0]) else [batch]:
+                yield made([None if row[0] is None else f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)])
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield made([None if x is None else f(x) for x in batch.to_pylist()])
+            for (column,) in sliced((batch,)) if len(batch) else [(batch,)]:
+                yield made([None if x is None else f(x) for x in column.to_pylist()])
 
     def column(*c: Column) -> Column:
         function = arrow_udf(one if len(c) == 1 else many, kind)
